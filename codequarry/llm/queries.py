@@ -5,6 +5,7 @@ from __future__ import annotations
 from codequarry.llm.encoding import encode_texts
 from codequarry.llm.leakage import leak_verdicts, leaked_items
 from codequarry.llm.overlap import near_duplicate_pairs
+from codequarry.llm.sentences import sentence_units
 from codequarry.llm.splitting import split_bodies
 from codequarry.session import table
 
@@ -29,6 +30,10 @@ def p8_verdicts(spark, d):
     return leak_verdicts(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_found, p7_ids, p8_found, p8_verdicts)}
+def p9_found(spark, d):
+    return sentence_units(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p6_found, p7_ids, p8_found, p8_verdicts, p9_found)}
 #: None of these is expressible in the SQL engine (NFKC, byte-pair merges, piece-by-piece state); see tests/llm.
 ORACLE: dict[str, str] = {}
