@@ -5,6 +5,7 @@ from __future__ import annotations
 from codequarry.llm.encoding import encode_texts
 from codequarry.llm.leakage import leak_verdicts, leaked_items
 from codequarry.llm.overlap import near_duplicate_pairs
+from codequarry.llm.pairs import defective_pairs
 from codequarry.llm.sentences import sentence_units
 from codequarry.llm.splitting import split_bodies
 from codequarry.session import table
@@ -14,6 +15,10 @@ def p3_found(spark, d):
     return split_bodies(table(spark, d, "retrieved_functions"))
 
 
+def p4_found(spark, d):
+    return defective_pairs(table(spark, d, "qa_results"))
+
+
 def p6_found(spark, d):
     return near_duplicate_pairs(table(spark, d, "issues"))
 
@@ -34,6 +39,6 @@ def p9_found(spark, d):
     return sentence_units(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_found, p7_ids, p8_found, p8_verdicts, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p6_found, p7_ids, p8_found, p8_verdicts, p9_found)}
 #: None of these is expressible in the SQL engine (NFKC, byte-pair merges, piece-by-piece state); see tests/llm.
 ORACLE: dict[str, str] = {}
