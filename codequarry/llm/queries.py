@@ -6,12 +6,17 @@ from codequarry.llm.encoding import encode_texts
 from codequarry.llm.leakage import leak_verdicts, leaked_items
 from codequarry.llm.overlap import near_duplicate_pairs
 from codequarry.llm.pairs import defective_pairs
+from codequarry.llm.provenance import not_hand_written
 from codequarry.llm.residue import residue_bodies
 from codequarry.llm.sentences import sentence_units
 from codequarry.llm.splitting import split_bodies
 from codequarry.session import table
 
 
+def p1_found(spark, d):
+    return not_hand_written(table(spark, d, "retrieved_functions"))
+
+
 def p2_found(spark, d):
     return residue_bodies(table(spark, d, "issues"))
 
@@ -44,6 +49,6 @@ def p9_found(spark, d):
     return sentence_units(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p7_ids, p8_found, p8_verdicts, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_ids, p8_found, p8_verdicts, p9_found)}
 #: None of these is expressible in the SQL engine (NFKC, byte-pair merges, piece-by-piece state); see tests/llm.
 ORACLE: dict[str, str] = {}
