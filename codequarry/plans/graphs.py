@@ -38,7 +38,7 @@ def gr1(spark, d):
 
 
 @q("GR2", _G + """, x AS (SELECT src AS name, file_path, CASE WHEN starts_with(file_path, 'src/') THEN 3 WHEN starts_with(file_path, 'lib/') THEN 2 WHEN starts_with(file_path, 'tests/') OR starts_with(file_path, 'examples/') THEN 0 ELSE 1 END AS rank
-  FROM calls JOIN nodes ON name = src WHERE dst = 'init') SELECT name, file_path, 0.5 AS score, 'caller_of_init' AS source FROM x ORDER BY rank DESC, name LIMIT 10""")
+  FROM calls JOIN nodes ON name = src WHERE dst = 'init') SELECT name, file_path, CAST(0.5 AS DOUBLE) AS score, 'caller_of_init' AS source FROM x ORDER BY rank DESC, name LIMIT 10""")
 def gr2(spark, d):
     from codequarry.operators.filters import path_rank
 
