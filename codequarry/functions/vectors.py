@@ -31,7 +31,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _scan(shared, k: int):
+def _scan(shared, k: int | None, least: float | None):
     def run(batches):
         ids, unit = shared.value
         for b in batches:
@@ -40,19 +40,28 @@ def _scan(shared, k: int):
             own = b.column(0).to_numpy()
             x = _unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
             score = unit @ x.T
+            if least is not None:
+                score = np.where(score >= least - 1e-3, score, -np.inf)
+            if k is None:
+                q, c = np.nonzero(np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[c]), pa.array(score[q, c])], ["query", "id", "score"])
+                continue
             keep = min(k + 1, len(own))
             top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-            # ties at the border stay whole: everything as good as the worst kept
             floor = np.take_along_axis(score, top, 1).min(axis=1)
-            q, c = np.nonzero(score >= floor[:, None] - 1e-12)
+            # scores are rounded later, so what may round up to the border is kept too
+            q, c = np.nonzero((score >= floor[:, None] - 1e-4) & np.isfinite(score))
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[c]), pa.array(score[q, c])], ["query", "id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", least: float | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int | None, id_col: str = "vec_id", vec_col: str = "embedding", least: float | None = None) -> DataFrame:
     """(query, id, score, rank): the ``k`` most similar other vectors of every query, ties by id.
 
+    With ``least`` only scores from there on leave the scan; ``k`` may then be
+    None, for all of them.
+
     Null vectors are left out; all vectors have one length.
     """
     spark = vectors.sparkSession
@@ -62,7 +71,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     def flush():
         nonlocal scans, ids, block
         shared = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), _unit(np.array(block, dtype=np.float64))))
-        s = rows.mapInArrow(_scan(shared, k), "query long, id long, score double")
+        s = rows.mapInArrow(_scan(shared, k, least), "query long, id long, score double")
         scans = s if scans is None else scans.unionByName(s)
         ids, block = [], []
 
@@ -79,4 +88,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     if least is not None:
         best = best.where(F.col("score") >= least)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = best.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)

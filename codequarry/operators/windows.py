@@ -51,8 +51,8 @@ def information_gain(steps: DataFrame, group: str) -> DataFrame:
     gained at most one.
     """
     first = steps.groupBy(group, "item").agg(F.min("step").alias("step"))
-    gain = first.groupBy(group, "step").agg(F.count("*").alias("g"))
-    every = steps.select(group, "step").distinct().join(gain, [group, "step"], "left").withColumn("gain", F.coalesce("g", F.lit(0)))
+    gain = first.groupBy(group, "step").agg(F.count("*").alias("_g"))
+    every = steps.select(group, "step").distinct().join(gain, [group, "step"], "left").withColumn("gain", F.coalesce("_g", F.lit(0)))
     w = Window.partitionBy(group).orderBy("step")
     last = F.greatest(F.col("gain"), F.lag("gain").over(w))
     return every.select(group, "step", "gain", F.coalesce((F.row_number().over(w) >= 3) & (last <= 1), F.lit(False)).alias("stop"))

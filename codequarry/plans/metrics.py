@@ -19,7 +19,9 @@ _RK = """once AS (SELECT result_id, any_value(retrieved_functions) AS rf, any_va
   ranked AS (SELECT result_id, u.name, u.file_path, u.score, u.source, row_number() OVER (PARTITION BY result_id ORDER BY u.score DESC NULLS LAST, u.file_path NULLS LAST, u.name NULLS LAST) AS rank
   FROM (SELECT result_id, unnest(rf) AS u FROM once) z)"""
 _R = f"WITH {_RK}"
-GOLD = F.col("source") == "grep"
+def gold():
+    return F.col("source") == "grep"
+
 
 
 def q(name: str, sql: str | None = None):
@@ -78,7 +80,7 @@ def ag10(spark, d):
 @q("AG11", f"""{_R}, gold AS (SELECT * FROM ranked, (VALUES (1), (2), (3)) AS t(k) WHERE source = 'grep'), per AS (SELECT k, result_id, count(*) AS n, sum(CASE WHEN rank <= k THEN 1 ELSE 0 END) AS found FROM gold GROUP BY 1, 2)
   SELECT k, round(sum(found) / sum(n), 6) AS recall, round(avg(CASE WHEN found > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM per GROUP BY k""")
 def ag11(spark, d):
-    return a.recall_at(_ranked(spark, d), GOLD, [1, 2, 3])
+    return a.recall_at(_ranked(spark, d), gold(), [1, 2, 3])
 
 
 _COV = "cov AS (SELECT result_id, avg(CASE WHEN rank <= 2 THEN 1.0 ELSE 0.0 END) AS covered FROM ranked WHERE source = 'grep' GROUP BY 1)"
@@ -86,13 +88,13 @@ _COV = "cov AS (SELECT result_id, avg(CASE WHEN rank <= 2 THEN 1.0 ELSE 0.0 END)
 
 @q("AG12", f"{_R}, {_COV} SELECT round(avg(covered), 6) AS mean, count(*) FILTER (covered = 1) AS \"full\", count(*) FILTER (covered > 0 AND covered < 1) AS part, count(*) FILTER (covered = 0) AS zero FROM cov")
 def ag12(spark, d):
-    c = a.coverage(_ranked(spark, d), GOLD, 2)
+    c = a.coverage(_ranked(spark, d), gold(), 2)
     return c.agg(F.round(F.avg("covered"), 6).alias("mean"), F.count_if(F.col("covered") == 1).alias("full"), F.count_if((F.col("covered") > 0) & (F.col("covered") < 1)).alias("part"), F.count_if(F.col("covered") == 0).alias("zero"))
 
 
 @q("AG13", f"""{_R}, b AS (SELECT result_id, min(rank) AS r FROM ranked WHERE source = 'grep' GROUP BY 1) SELECT round(avg(r), 6) AS mean, round(avg(1.0 / r), 6) AS mrr, (SELECT r FROM (SELECT r, row_number() OVER (ORDER BY r) AS k FROM b) z WHERE k = (SELECT count(*) // 2 + 1 FROM b)) AS upper_median FROM b""")
 def ag13(spark, d):
-    b = materialize(_ranked(spark, d).where(GOLD).groupBy("result_id").agg(F.min("rank").alias("r")))
+    b = materialize(_ranked(spark, d).where(gold()).groupBy("result_id").agg(F.min("rank").alias("r")))
     s = b.agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.avg(1 / F.col("r")), 6).alias("mrr"))
     return s.crossJoin(a.values_at(b, "r", {"upper_median": F.expr("n div 2 + 1")}))
 
@@ -116,7 +118,7 @@ def ag16(spark, d):
 @q("AG17", f"""{_R}, per AS (SELECT result_id, split_part(min(file_path), '/', 1) AS root, max(rank) AS depth, sum(CASE WHEN rank <= 2 THEN 1 ELSE 0 END) AS found, count(*) AS n FROM ranked WHERE source = 'grep' GROUP BY 1)
   SELECT root, depth, round(avg(found / n), 6) AS macro, round(sum(found) / sum(n), 6) AS micro FROM per GROUP BY GROUPING SETS ((root), (depth), ())""")
 def ag17(spark, d):
-    r = _ranked(spark, d).where(GOLD)
+    r = _ranked(spark, d).where(gold())
     per = r.groupBy("result_id").agg(F.split_part(F.min("file_path"), F.lit("/"), F.lit(1)).alias("root"), F.max("rank").alias("depth"), F.sum(F.when(F.col("rank") <= 2, 1).otherwise(0)).alias("found"), F.count("*").alias("n"))
     sets = [[F.col("root")], [F.col("depth")], []]
     return per.groupingSets(sets, "root", "depth").agg(F.round(F.avg(F.col("found") / F.col("n")), 6).alias("macro"), F.round(F.sum("found") / F.sum("n"), 6).alias("micro")).select("root", "depth", "macro", "micro")
@@ -207,7 +209,7 @@ def ag27(spark, d):
 
 @q("AG28", f"{_R}, {_COV} SELECT result_id, round(covered * 100, 4) AS percent FROM cov WHERE covered < 0.5")
 def ag28(spark, d):
-    return a.coverage(_ranked(spark, d), GOLD, 2).where("covered < 0.5").select("result_id", F.round(F.col("covered") * 100, 4).alias("percent"))
+    return a.coverage(_ranked(spark, d), gold(), 2).where("covered < 0.5").select("result_id", F.round(F.col("covered") * 100, 4).alias("percent"))
 
 
 _ND = f"WITH {SQL_NODES}, {SQL_CALLS}, {_DEG}, x AS (SELECT name, regexp_replace(file_path, '/[^/]*$', '') AS dir, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (name))"
