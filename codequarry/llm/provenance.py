@@ -60,7 +60,7 @@ _COPIED = re.compile(
     |\bvendored\s+from\b|\breport\s+bugs\s+to\s+the\s+\S+\s+project\b|\blocal\s+(?:changes|modifications)\s*:\s*none\b|\bpart\s+of\s+the\s+\S+\s+(?:library|distribution)\b.*\bnot\s+(?:part\s+of\s+)?this\b""",
     re.I | re.X,
 )
-_STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`')
+_STRING = re.compile(r'"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`')
 _NUMBER = r"[-+]?(?:0[xX][0-9a-fA-F]+|0[bB][01]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?|\.\d+)[fFuUlL]*"
 _RUN = re.compile(rf"(?:{_NUMBER}\s*,\s*){{{BLOB_LITERALS - 1},}}(?:{_NUMBER})?")
 _QUOTED_RUN = re.compile(r'(?:"(?:[^"\\\n]|\\.)*"\s*,?\s*)+')

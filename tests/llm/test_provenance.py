@@ -34,6 +34,7 @@ def test_paths(path, kinds):
         (MIN, MINIFIED), (TABLE, DATA), (TABLE.replace("\n", "\r\n"), DATA), (TABLE.replace("\n  ", ""), DATA),
         ("// Feeds the code generator; the generated output goes to the build directory.\n" + CODE, 0), ("// Do not edit the x_y buffer while the iterator is alive.\n" + CODE, 0),
         ("/* Written by hand on purpose: the automatic x version was too slow. */\n" + CODE, 0), ("// Replaces the vendored bzfold parser that we removed in v1.4.\n" + CODE, 0),
+        ('int f() {\n    const char * x = "' + "QzM+0xab/" * 600, 0),  # cut within the literal
         ('int f() {\n    const char * x = "' + "QzM+0xab/" * 600 + '";\n' + CODE + "}\n", 0), ("int f() {\n    static const int steps[8] = {44, 30, 2, 55, 35, 43, 13, 41};\n}\n", 0), (CODE, 0),
     ],
 )
