@@ -29,10 +29,12 @@ KINDS = ("placeholder", "filler", "error", "notice", "extra")
 BLOCKS, KEYED, MAX_BITS = 6, 3, 3
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
+#: Characters from which a segment that names code is a report without a closer look.
+LONG_SEGMENT = 160
 #: Segments of one table key that meet in one task.
 BUCKET_ROWS = 256
 
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_COMMENT = re.compile(r"<!--(?:(?!<!--).){0,400}?-->", re.S)  # a broken one must not swallow a report
 _DROPPED = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(
     r"</?(?:!doctype|html|head|title|meta|link|body|div|span|p|br|hr|h[1-6]|a|b|i|u|em|strong|center|address|table|tbody|thead|tr|td|th|"
@@ -110,6 +112,8 @@ _EXTRA = re.compile(
     re.I | re.X,
 )
 _QUOTE = re.compile(r'"[^"\n]*"|“[^”\n]*”|「[^」\n]*」|`[^`\n]*`')
+_ALNUM = regex.compile(r"[\p{L}\p{N}]")
+_LETTERS = regex.compile(r"\p{L}+")
 _JSON_FIELD = re.compile(r'"(?:message|error|status|code|detail|title|statusCode|path|timestamp|documentation_url|request_id)"\s*:\s*("[^"]*"|[\w.]+)', re.I)
 _FIELD = re.compile(r"^\s*([\w /()'?-]{1,40}|[一-鿿]{1,12})\s*[:：]\s*(.*)$")
 #: What a report names: code, a path, an identifier, a version, a link, a hash.
@@ -128,7 +132,7 @@ def _sentence(p: str) -> str:
     clauses = [c for c in re.split("[，,]", core) if c.strip()]
     if _BLANKS.fullmatch(core) or _BLANKS.fullmatch(p) or all(_BLANKS.fullmatch(c.strip()) for c in clauses):
         return "placeholder"
-    words = regex.findall(r"\p{L}+", p.lower())
+    words = _LETTERS.findall(p.lower())
     if len(words) >= 2 and sum(w in _LATIN for w in words) >= 0.8 * len(words):
         return "filler"
     if words and all(w in _DUMMY or re.fullmatch(r"(.)\1+", w) for w in words) and set(re.findall(r"\d+", p)) <= {"1", "12", "123", "1234", "12345"}:
@@ -146,7 +150,7 @@ def _residue(text: str) -> str:
     rest = _PLACEHOLDER.sub(" ", text)
     if rest != text:
         left = re.sub(r"[^\W\d][\w ()/-]{0,30}\s*[:：=]", " ", rest)
-        if not regex.search(r"[\p{L}\p{N}]", left) or _residue(left.strip()) in ("placeholder", "filler", "blank"):
+        if not _ALNUM.search(left) or _residue(left.strip()) in ("placeholder", "filler", "blank"):
             return "placeholder"
     kinds = [_sentence(p) for p in re.split(r"(?<=[.!?])\s+|(?<=[。！？])", text) if p.strip()]
     kinds = [k for k in kinds if k != "blank"] if any(k not in ("", "blank") for k in kinds) else kinds
@@ -159,8 +163,10 @@ def _residue(text: str) -> str:
 
 def _kind(text: str, heading: bool) -> str:
     """'', a residue kind, 'label', 'report' or 'unknown' of one stripped segment."""
-    if not text or not regex.search(r"[\p{L}\p{N}]", text) and not re.search(r"\.{2,}|…|\?{3,}|_{4,}", text):
+    if not text or not _ALNUM.search(text) and not re.search(r"\.{2,}|…|\?{3,}|_{4,}", text):
         return ""
+    if len(text) > LONG_SEGMENT and _CODE.search(_NAMES_OF_NOTICE.sub("", text)) and not _PLACEHOLDER.search(text):
+        return "report"
     kind = _residue(text)
     if kind:
         return kind
