@@ -69,6 +69,18 @@ _REFUSE = re.compile(
     re.I | re.X | re.M,
 )
 
+#: Finds any text that holds a sentence which the pattern above finds.
+_MAY_REFUSE = re.compile(_REFUSE.pattern.replace(r"^\s*sorry\b", r"\bsorry\b"), _REFUSE.flags)
+
+#: Every alternative above holds one of these; most texts hold none, which is told faster.
+_HINTS = (
+    "sorry", "declin", "refus", "can't", "cannot", "can not", "could not", "couldn't", "won't", "will not", "unable", "not able", "not allowed", "not permitted",
+    "as a", "no answer", "enough", "insufficient", "outside", "beyond", "have access", "don't have", "does not", "do not", "not part", "could you", "can you",
+    "please", "nothing to go", "leider", "tut mir", "darf ich", "kann ich", "als ki", "als sprachmodell", "nicht genug", "keine ", "ohne zugriff", "bitte",
+    "désolé", "je suis", "je ne peux", "lo siento", "no puedo", "抱歉", "对不起", "無法", "无法", "不予", "恕", "超出", "作为一", "不便", "请", "没有足够",
+    "检索结果", "不能回答", "拒绝", "申し訳", "お答え", "извините", "не могу",
+)
+
 _ASK = (
     ("en", re.compile(r"\b(?:answer|reply|respond|write)\w*\s+(?:\w+\s+)?in\s+english\b|用英[文语語]|auf\s+englisch|en\s+(?:anglais|inglés)|英語で", re.I)),
     ("zh", re.compile(r"\b(?:answer|reply|respond|write)\w*\s+(?:\w+\s+)?in\s+chinese\b|用中[文国]|用汉语|auf\s+chinesisch|en\s+(?:chinois|chino)|中国語で", re.I)),
@@ -82,6 +94,7 @@ _SCRIPTS = (
     ("ar", regex.compile(r"\p{Arabic}")), ("hi", regex.compile(r"\p{Devanagari}")), ("th", regex.compile(r"\p{Thai}")),
     ("ko", regex.compile(r"\p{Hangul}")), ("latin", regex.compile(r"\p{Latin}+")),
 )
+_LETTERS = regex.compile(r"\p{L}+")
 _STOP = {
     "en": """the a an of to and is are was were it its that this these with for from by on in at as be been has have had not no yes
         which who what when where why how does do did can could would should there their they them he she we you i but or only if
@@ -103,6 +116,8 @@ def _prose(text: str) -> str:
 
 
 def _script(prose: str) -> str | None:
+    if prose.isascii():
+        return "latin" if _LETTERS.search(prose) else None
     n = {k: len(p.findall(prose)) for k, p in _SCRIPTS}
     if n["kana"] + n["han"] and n["kana"] >= 0.1 * (n["kana"] + n["han"]):
         n["kana"], n["han"] = n["kana"] + n["han"], 0
@@ -118,7 +133,7 @@ def language(text: str) -> str | None:
     script = _script(prose)
     if script != "latin":
         return script
-    words = regex.findall(r"\p{L}+", prose.lower())
+    words = _LETTERS.findall(prose.lower())
     hits = {k: sum(w in s for w in words) for k, s in _STOP.items()}
     best = max(hits, key=hits.get)
     if not hits[best] or sum(h == hits[best] for h in hits.values()) > 1:
@@ -162,7 +177,7 @@ def _open_end(body: str) -> bool:
         return not last.endswith("|")
     if _BARE_MARK.fullmatch(last):
         return True
-    if re.search(r"[.!?…。！？؟।｡]['\"”“’»›」』）)\]*_`]*$", last):
+    if re.search(r"[.!?…。！？؟।｡](?:\s?[»›])?['\"”“’»›」』）)\]*_`]*$", last):
         return False
     item = re.sub(r"^(?:[-*+]|\d+\.)\s+|^>\s*", "", last)
     # an item, or a whole answer, that is but one name or place is complete
@@ -226,7 +241,9 @@ def votes(question: str | None, answer: str | None) -> str:
     plain = re.sub(r"^(?:[-*+>#]+|\d+\.)\s+", "", plain, flags=re.M)
     parts = [plain[x:y] for x, y in units(plain)]
     told = [p for p in parts if not p.startswith("|")]
-    hit = [bool(_REFUSE.search(p)) for p in told]
+    flat = " ".join(plain.lower().split())
+    may = any(h in flat for h in _HINTS) and bool(_MAY_REFUSE.search(plain))
+    hit = [may and bool(_REFUSE.search(p)) for p in told]
     every = bool(hit) and all(hit)
     evidence = "```" in body or bool(re.search(r"^\|.*\|\s*$|^\s*[-*+]\s+`?[\w./\\]+:\d+", body, re.M))
     refusal = _vote(any(hit), True) + _vote(every, True) + _vote(False, evidence)
