@@ -11,6 +11,7 @@ their sentences together, and Thai breaks at spaces.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,29 +97,29 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 def _held(s: str) -> list[tuple[int, int]]:
     """Spans of quotations, brackets and code that close inside ``s``; outermost ones, in order."""
     stack: list[tuple[str, int]] = []
+    waits: Counter[str] = Counter()  # how many open marks wait for which end
     spans: list[tuple[int, int]] = []
+
+    def shut(end: str, k: int) -> None:
+        # what was opened inside and never closed goes with it, so no mark is passed twice
+        while True:
+            want, at = stack.pop()
+            waits[want] -= 1
+            if want == end:
+                spans.append((at, k))
+                return
+
     for m in _PAIRED.finditer(s):
         c, k = m.group(), m.start()
-        if c == "`" or c == '"':
-            hit = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] == c), None)
-            if hit is not None:
-                spans.append((stack[hit][1], k))
-                del stack[hit:]
-            elif stack and stack[-1][0] == "`":
-                continue
-            else:
-                stack.append((c, k))
-            continue
-        if stack and stack[-1][0] == "`":
+        code = bool(stack) and stack[-1][0] == "`"
+        if code and c != "`":
             continue
-        hit = next((j for j in range(len(stack) - 1, -1, -1) if c == stack[j][0] or (c == "”" and stack[j][0] == "“")), None)
-        if c in CLOSE and hit is not None:
-            spans.append((stack[hit][1], k))
-            del stack[hit:]
-        elif c in OPEN:
-            stack.append((OPEN[c], k))
-            if c == "„":
-                stack[-1] = ("“", k)
+        end = "“" if c == "”" and not waits["”"] and waits["“"] else c
+        if waits[end] and (c in CLOSE or c == "`"):
+            shut(end, k)
+        elif c in OPEN or c in '"`':
+            stack.append(("“" if c == "„" else OPEN.get(c, c), k))
+            waits[stack[-1][0]] += 1
     spans.sort()
     out: list[tuple[int, int]] = []
     for a, b in spans:
