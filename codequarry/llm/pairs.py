@@ -151,14 +151,19 @@ def wanted_language(question: str) -> str | None:
 
 def _strip_question(answer: str, question: str) -> str:
     """The answer after a leading repetition of the question."""
-    q = " ".join(question.split())
-    if not q:
+    words = question.split()
+    if not words:
         return answer
-    flat = re.sub(r"^[\s>*#\"“]+", "", answer)
-    flat = _LEAD.sub("", flat)
-    pattern = r"\s+".join(map(re.escape, q.split()))
-    m = re.match(pattern, flat, re.I)
-    return flat[m.end() :].lstrip('*"”!?.。 \t') if m else answer
+    flat = _LEAD.sub("", re.sub(r"^[\s>*#\"“]+", "", answer))
+    at = 0
+    for k, w in enumerate(words):
+        start = at
+        while at < len(flat) and flat[at].isspace():
+            at += 1
+        if (k and at == start) or flat[at : at + len(w)].lower() != w.lower():
+            return answer
+        at += len(w)
+    return flat[at:].lstrip('*"”!?.。 \t')
 
 
 _BARE_MARK = re.compile(r"[-*+>]|\d+\.|#+")
@@ -210,7 +215,7 @@ def _dangling(body: str) -> bool:
     last = end.rsplit("\n", 1)[-1].strip()
     if _BARE_MARK.fullmatch(last) or re.fullmatch(r"\|[-|\s]*", last) or end.endswith((":", "：", ",", "，", "、", ";", "；", "-")):
         return True
-    word = re.search(r"([^\s(（]+)\.$", last)
+    word = re.search(r"([^\s(（]+)\.$", last[-60:])
     return bool(word and (word[1].lower() in NEVER_LAST or word[1].lower() in BEFORE_NUMBER and word[1] != "no"))
 
 
