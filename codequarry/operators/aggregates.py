@@ -61,7 +61,7 @@ def values_at(df: DataFrame, col: str, ranks: dict[str, Column]) -> DataFrame:
         else:
             p = -1
         at = rows.where(F.col("p") == p).orderBy("v").limit(want - before).agg(F.max("v").alias(name))
-        out = at if out is None else out.crossJoin(at)
+        out = at if out is None else out.crossJoin(at)  # one row each
     return out
 
 

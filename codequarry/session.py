@@ -59,14 +59,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, but in compressed columns, so a
-    later reader prunes columns and an executor that is lost costs nothing.
+    later reader prunes columns and an executor that is lost costs nothing. The
+    tables stay until ``release``, as results may still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _written.append(path)
     w = df.write
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -91,3 +96,12 @@ def join_on_keys(big: DataFrame, keys: DataFrame, on: list[str], spread: str, ho
         .join(salted, [*on, "_salt"], how)
         .drop("_salt")
     )
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables written by ``materialize``; call it once no result reads them any more."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

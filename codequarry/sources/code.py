@@ -77,3 +77,9 @@ def implementation_text(headers: DataFrame, sources: DataFrame, least: int = 150
     h = headers.withColumns({"stem": stem, "place": place}).join(near, "place", "left").join(far, "stem", "left")
     other = F.coalesce(F.col("near.impl"), F.col("far.impl"))
     return h.select("file_path", F.when((F.length("text") < least) & (F.length(other) > F.length("text")), other).otherwise(F.col("text")).alias("text"))
+
+
+def project_files(files: DataFrame) -> DataFrame:
+    """(file_path, is_header) of the project's own sources, each once."""
+    own = files.where(F.col("file_path").isNotNull() & ~F.col("file_path").rlike(SKIPPED)).select("file_path").distinct()
+    return own.withColumn("is_header", F.col("file_path").rlike(r"\.(h|hpp)$"))

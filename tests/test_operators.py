@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as t
 from codequarry.functions.vectors import cosine, nearest
 from codequarry.operators import aggregates, context, extract, filters, graph, incremental, joins, retrieval, windows
-from codequarry.session import join_on_keys
+from codequarry.session import join_on_keys, materialize, release
 from codequarry.sources import code, sinks
 
 
@@ -250,3 +250,9 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     batch = {(x.start, x.event_type): x.n for x in windowed_counts(events, "ts", "event_type").collect()}
     done = {(x.start, x.event_type): x.n for x in run_available(windowed_counts(stream, "ts", "event_type", late="3650 days")).collect()}
     assert set(done.items()) <= set(batch.items())
+
+
+def test_written_tables_are_released(spark):
+    release(spark)
+    df = materialize(spark.range(5))
+    assert df.count() == 5 and release(spark) == 1 and release(spark) == 0
