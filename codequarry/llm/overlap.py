@@ -91,7 +91,7 @@ def _prefixes(shared, threshold: Fraction):
         counts = np.frombuffer(shared.value, "<i4")
         mask = len(counts) - 1
         for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for doc, g in zip(b.column(0).to_numpy(), b.column(1)):
                 g = g.values.to_numpy()
                 n = len(g)
@@ -100,11 +100,14 @@ def _prefixes(shared, threshold: Fraction):
                 freq = counts[g & mask]
                 order = np.lexsort((g, freq))[:keep]
                 place = np.flatnonzero(freq[order] > 1)  # a counter of 1 is a shingle of one document
-                for c, x in zip(cols, (g[order[place]], doc, n, place + 1, k)):
+                # a partner of at least this size shares more, so here a shorter prefix suffices
+                both = threshold.numerator + threshold.denominator
+                short = n - -(-2 * threshold.numerator * n // both) + k
+                for c, x in zip(cols, (g[order[place]], doc, n, place + 1, k, place < short)):
                     c.append(x if isinstance(x, np.ndarray) else np.full(len(place), x))
             flat = [np.concatenate(c) if c else np.empty(0) for c in cols]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(f.astype(t.to_pandas_dtype()), t) for f, t in zip(flat, kinds)], ["gram", "doc", "n", "place", "k"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(f.astype(t.to_pandas_dtype()), t) for f, t in zip(flat, kinds)], ["gram", "doc", "n", "place", "k", "short"])
 
     return run
 
@@ -114,7 +117,7 @@ def similar_classes(sets: DataFrame, threshold: Fraction) -> DataFrame:
     spark = sets.sparkSession
     shared = spark.sparkContext.broadcast(frequency_sketch(sets))
     post = materialize(
-        sets.select("doc", "grams").mapInArrow(_prefixes(shared, threshold), "gram long, doc long, n int, place int, k int")
+        sets.select("doc", "grams").mapInArrow(_prefixes(shared, threshold), "gram long, doc long, n int, place int, k int, short boolean")
     )
     long = post.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_ROWS)
     long = materialize(long.select("gram", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("nb")))
@@ -130,19 +133,20 @@ def similar_classes(sets: DataFrame, threshold: Fraction) -> DataFrame:
             .unionByName(blocked.select(*cells.columns))
         )
     num, den = threshold.numerator, threshold.denominator
-    a = cells.select("gram", "lo", "hi", *[F.col(c).alias(f"{c}1") for c in ("doc", "n", "place", "k", "own")])
+    # the smaller document of a pair stands left, with its short prefix only
+    a = cells.where("short").select("gram", "lo", "hi", *[F.col(c).alias(f"{c}1") for c in ("doc", "n", "place", "k", "own")])
     b = cells.select("gram", "lo", "hi", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "place", "k", "own")])
     most = F.least("place1", "place2") + F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
     product = (
         a.join(b, ["gram", "lo", "hi"])
         .where(
-            (F.col("doc1") < F.col("doc2"))
+            ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("doc1") < F.col("doc2"))))
             & ((F.col("own1") != F.col("own2")) | (F.col("lo") == F.col("hi")))
-            & (F.least("n1", "n2") * den >= F.greatest("n1", "n2") * num)
+            & (F.col("n1") * den >= F.col("n2") * num)
             & (most * (num + den) >= (F.col("n1") + F.col("n2")) * num)
         )
         .groupBy("doc1", "doc2")
-        .agg(F.count("*").alias("shared"), F.min(F.least("k1", "k2")).alias("least"))
+        .agg(F.count("*").alias("shared"), F.min("k1").alias("least"))
         .where(F.col("shared") >= F.col("least"))
         .select("doc1", "doc2")
     )
