@@ -70,7 +70,7 @@ def code_symbols(text: Column) -> Column:
 
 def fixed_issues(text: Column) -> Column:
     """Numbers after fix, close or resolve, as integers."""
-    return F.transform(_all(text, r"(?i)(?:fixes?|closes?|resolves?)\s+#(\d+)", 1), lambda n: n.cast("int"))
+    return F.transform(_all(text, r"(?i)(?:fixes?|closes?|resolves?)\s+#(\d+)", 1), lambda n: n.try_cast("int"))
 
 
 def mentions(text: Column, least: int = 4) -> Column:
@@ -86,9 +86,9 @@ def has_code_reference(text: Column) -> Column:
 
 
 def evidence(text: Column) -> Column:
-    """``path:line`` references as structs (path, line)."""
+    """``path:line`` references as structs (path, line); a number too large for a line is null."""
     found = _all(text, r"[A-Za-z0-9_./-]+\.[a-z]+:\d+")
-    return F.transform(found, lambda e: F.struct(F.regexp_replace(e, r":\d+$", "").alias("path"), F.regexp_extract(e, r":(\d+)$", 1).cast("int").alias("line")))
+    return F.transform(found, lambda e: F.struct(F.regexp_replace(e, r":\d+$", "").alias("path"), F.regexp_extract(e, r":(\d+)$", 1).try_cast("int").alias("line")))
 
 
 def paths(text: Column) -> Column:
@@ -187,7 +187,7 @@ def gold_evidence(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     each = records.select(id_col, F.posexplode(F.split(text_col, r"[;；]\s*(?=E\d+ )")).alias("k", "raw"))
     p = r"^\s*(E\d+)\s+([^:\s]+):(\d+)(?:-(\d+))?(?:\s+(\S+))?"
     x = lambda n: F.regexp_extract("raw", p, n)
-    rows = each.select(id_col, "k", x(1).alias("e"), x(2).alias("file"), x(3).cast("int").alias("line_start"), F.coalesce(F.when(x(4) != "", x(4).cast("int")), x(3).cast("int")).alias("line_end"), x(5).alias("kind")).where("e <> ''")
+    rows = each.select(id_col, "k", x(1).alias("e"), x(2).alias("file"), x(3).try_cast("int").alias("line_start"), F.coalesce(x(4).try_cast("int"), x(3).try_cast("int")).alias("line_end"), x(5).alias("kind")).where("e <> ''")
     n = F.row_number().over(Window.partitionBy(id_col, "e").orderBy("k")) - 1
     rows = rows.withColumn("n", n)
     return rows.select(id_col, F.when(F.col("n") == 0, F.col("e")).otherwise(F.concat("e", F.lit("_"), "n")).alias("evidence_id"), "file", "line_start", "line_end", "kind")

@@ -59,7 +59,7 @@ def numbered(lines: DataFrame, *keys: str) -> DataFrame:
 
 def read_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, code) of the spans (id, file_path, start_line, end_line), both ends included."""
-    each = spans.select("id", "file_path", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
+    each = spans.where("start_line <= end_line").select("id", "file_path", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
     return numbered(each.join(lines, ["file_path", "line_no"]), "id")
 
 
