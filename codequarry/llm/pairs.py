@@ -48,6 +48,11 @@ _LABEL = (
 )
 _ONLY_LABEL = re.compile(rf"{_LABEL}\s*[:：.]?\s*", re.I)
 _LEAD = re.compile(rf"^[\s>*#_\"'“-]*{_LABEL}[\s*_]*[:：][\s*_]*", re.I)
+#: Labels before a repeated question whose colon is lost.
+_LEADS = frozenset(
+    "answer question q a youasked yourquestion yourquestionis yourquestionwas frage antwort siefragten ihrefrage 问题 问 您问的是 你问的是 您的问题是 答案 回答 答".split()
+)
+_CHARS = regex.compile(r"[^\W_]+")
 _WORD = regex.compile(r"[\p{L}\p{N}_]+|[\p{Han}\p{Hiragana}\p{Katakana}]")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[^\W\p{Han}\p{Hiragana}\p{Katakana}]+")
 
@@ -231,12 +236,14 @@ def votes(question: str | None, answer: str | None) -> str:
     if not words:
         return empty + "-" * (3 * (len(DEFECTS) - 1))
 
-    q = _TOKEN.findall(question.lower())
-    a = _TOKEN.findall(_LEAD.sub("", visible).lower())
+    # marks may be lost anywhere, also inside of names, so letters and digits are compared
+    q = "".join(_CHARS.findall(question.lower()))
+    a = "".join(_CHARS.findall(_LEAD.sub("", visible).lower()))
     times = len(a) // len(q) if q else 0
-    same = bool(times) and a == q * times
-    inside = bool(q) and set(a) <= set(q)
-    copy = _vote(same, True) + _vote(inside, True) + _vote(bool(times) and len(a) % len(q) == 0 and inside)
+    lead = a[: len(a) - len(q) * times]
+    same = bool(times) and a[len(lead) :] == q * times and (not lead or lead in _LEADS)
+    inside = same or bool(q) and set(_TOKEN.findall(_LEAD.sub("", visible).lower())) <= set(_TOKEN.findall(question.lower()))
+    copy = _vote(same, True) + _vote(inside, True) + _vote(same and not lead)
     if same:
         return empty + copy + "-" * (3 * (len(DEFECTS) - 2))
 

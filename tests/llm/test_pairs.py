@@ -20,6 +20,7 @@ DEFECTIVE = [
     ("empty", Q, None), ("empty", Q, ""), ("empty", Q, "​ ﻿"), ("empty", Q, "**Answer:**"), ("empty", Q, "答案："),
     ("empty", Q, "```cpp\n\n```"), ("empty", Q, "####"), ("empty", None, "> "), ("empty", Q, "<br/>&nbsp;"),
     ("copy", Q, Q), ("copy", Q, Q.upper()), ("copy", Q, f"**{Q}**\n"), ("copy", Q, "You asked: " + Q), ("copy", Q, Q + "\n" + Q),
+    ("copy", "List the effects of x_y in a/b_c.cc?", "list the effects of x_y in a/b_ccc"), ("copy", Q, "Question " + Q),
     ("copy", "队列的上限7是在哪里检查的？", "您问的是：队列的上限7是在哪里检查的"),
     ("refusal", Q, "I'm sorry, but I can't help with that request."), ("refusal", Q, "> " + Q + "\n\nSorry, I must decline to review `x_y`."),
     ("refusal", Q, "Could you share the code of x_y? Without it I have nothing to go on."),
