@@ -64,18 +64,17 @@ _BLANKS = re.compile(
 )
 #: Words of the usual filler text (fixed values).
 _LATIN = frozenset(
-    """lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore
-    magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in
+    """lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed eiusmod tempor incididunt ut labore et dolore
+    magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure
     reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia
     deserunt mollit anim id est laborum massa nunc urna odio arcu quam diam nibh felis porta vero orci vitae tellus mauris ligula lacus
-    turpis purus justo neque risus leo sem nec eget at a ac ante augue bibendum blandit condimentum congue cras cursus dapibus dictum
+    turpis purus justo neque risus leo sem nec eget ac ante augue bibendum blandit condimentum congue cras cursus dapibus dictum
     dignissim donec efficitur egestas eleifend elementum etiam euismod facilisis faucibus fermentum feugiat finibus fringilla fusce gravida
     habitant hendrerit iaculis imperdiet integer interdum lacinia laoreet lectus libero lobortis luctus maecenas malesuada mattis maximus
     metus mi molestie mollis morbi nam netus nullam ornare pellentesque pharetra phasellus placerat porttitor posuere potenti praesent
     pretium proin pulvinar quisque rhoncus rutrum sagittis sapien scelerisque semper senectus sodales sollicitudin suscipit suspendisse
-    tempus tincidunt tortor tristique ultrices ultricies vehicula vel venenatis vestibulum viverra vivamus volutpat vulputate hac habitasse
-    platea dictumst eros erat accumsan aenean aliquam aliquet auctor commodo convallis in per inceptos himenaeos class aptent taciti
-    sociosqu litora torquent conubia nostra""".split()
+    tempus tincidunt tortor tristique ultrices ultricies vehicula vel venenatis vestibulum viverra vivamus volutpat vulputate
+    eros erat accumsan aenean aliquam aliquet auctor convallis""".split()
 )
 #: Keyboard and metasyntactic filler (fixed values).
 _DUMMY = frozenset("foo bar baz qux quux foobar asdf asdfg asdfgh asdfasdf qwer qwert qwerty qwertz zxcv zxcvb hjkl jkl sdf test testing tests blah bla xxx xyz abc abcd dummy sample hello world 测试 测试测试 啊啊啊".split())
