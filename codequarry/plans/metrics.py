@@ -367,7 +367,7 @@ def set5(spark, d):
     return o.select("result_id", F.size(F.array_compact(F.array_distinct("retrieved_functions.name"))).alias("n"))
 
 
-@q("SET7")
+@q("SET7", f"WITH RECURSIVE {SQL_NODES}, {SQL_CALLS}, h AS (SELECT name, 0 AS hop FROM nodes WHERE starts_with(name, 'parse_') UNION SELECT dst, hop + 1 FROM h JOIN calls ON src = name WHERE hop < 4) SELECT DISTINCT name FROM h")
 def set7(spark, d):
     n = nodes(spark, d).where(F.col("name").startswith("parse_")).select(F.col("name").alias("seed"))
     return g.k_hop(calls(spark, d), n, 4).select("name").distinct()

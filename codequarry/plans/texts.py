@@ -158,7 +158,12 @@ def tx17(spark, d):
     return t.sections(table(spark, d, "documents"), "doc_id", "text")
 
 
-@q("TX18")
+_CLEAN = "text"
+for _p, _to in ((r"(?s)```.*?(```|\z)", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"<[^<>\n]*>", "")):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_to}', 'g')"
+
+
+@q("TX18", f"SELECT doc_id, trim(regexp_replace({_CLEAN}, '\\n\\s*\\n+', chr(10) || chr(10), 'g')) AS text FROM documents WHERE text IS NOT NULL")
 def tx18(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
     return docs.select("doc_id", t.clean_markdown(F.col("text")).alias("text"))
