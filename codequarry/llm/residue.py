@@ -119,10 +119,24 @@ _FIELD = re.compile(r"^\s*([\w /()'?-]{1,40}|[一-鿿]{1,12})\s*[:：]\s*(.*)$")
 _CODE = re.compile(
     r"`[^`]+`|\w+\(\)|\b[a-z0-9]+_[a-z0-9_]+|[\w-]+/[\w./-]+\.\w+|\b[A-Z][a-z]+[A-Z]\w+|::|->|;\s*$|[{}]\s*$|https?://|\bv?\d+\.\d+(?:\.\d+)?\b|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{7,40}\b"
 )
+#: The commonest of these, told at a glance.
+_PLAIN_CODE = re.compile(r"`[^`]+`|\w\(\)|::|->|https?://|(?<!\w)[a-z0-9]+_[a-z0-9_]")
 _TICKET = re.compile(r"(?:reference|incident|request|ray|error|ticket|trace)?\s*(?:id|code|no\.?)?\s*[#:]?\s*\(?#?\b[0-9a-f]{3,}(?:[.-][0-9a-f]+)*\)?", re.I)
 _NAMES_OF_NOTICE = re.compile(r"java\s*script|cloudflare|openresty", re.I)
 
 
+#: Every placeholder holds one of these.
+_HELD_BY = re.compile(r"[{%<$\[@【（]|__|\?\?\?|xxx|\(\s*(?:insert|enter|add|your|please|describe|fill|paste|write|put|todo|tbd|placeholder|replace|optional|required|e\.g\.|example|请|在此|此处|填写)", re.I)
+
+
+def _has_placeholder(text: str) -> bool:
+    return bool(_HELD_BY.search(text) and _PLACEHOLDER.search(text))
+
+
+def _names_code(text: str) -> bool:
+    return bool(_PLAIN_CODE.search(text) or _CODE.search(_NAMES_OF_NOTICE.sub("", text)))
+
+
 def _sentence(p: str) -> str:
     """The residue kind of one sentence, or ''."""
     core = p.strip(" .。!！…*_~`\"'，,")
@@ -146,7 +160,7 @@ def _sentence(p: str) -> str:
 
 def _residue(text: str) -> str:
     """The residue kind of a segment that consists of residue only, or ''."""
-    rest = _PLACEHOLDER.sub(" ", text)
+    rest = _PLACEHOLDER.sub(" ", text) if _HELD_BY.search(text) else text
     if rest != text:
         left = re.sub(r"[^\W\d][\w ()/-]{0,30}\s*[:：=]", " ", rest)
         if not _ALNUM.search(left) or _residue(left.strip()) in ("placeholder", "filler", "blank"):
@@ -164,7 +178,7 @@ def _kind(text: str, heading: bool) -> str:
     """'', a residue kind, 'label', 'report' or 'unknown' of one stripped segment."""
     if not text or not _ALNUM.search(text) and not re.search(r"\.{2,}|…|\?{3,}|_{4,}", text):
         return ""
-    if len(text) > LONG_SEGMENT and _CODE.search(_NAMES_OF_NOTICE.sub("", text)) and not _PLACEHOLDER.search(text):
+    if len(text) > LONG_SEGMENT and _names_code(text) and not _has_placeholder(text):
         return "report"
     kind = _residue(text)
     if kind:
@@ -178,7 +192,7 @@ def _kind(text: str, heading: bool) -> str:
         value = _kind(field[2].strip(), False)
         if value in ("placeholder", "filler"):
             return value
-    return "report" if _CODE.search(_NAMES_OF_NOTICE.sub("", text)) else "unknown"
+    return "report" if _names_code(text) else "unknown"
 
 
 def segments(body: str) -> list[tuple[str, str]]:
@@ -209,7 +223,7 @@ def segments(body: str) -> list[tuple[str, str]]:
                 continue
         cells = [c.strip() for c in stripped.strip("|").split("|")] if stripped.startswith("|") else [stripped]
         for cell in cells:
-            plain = re.sub(r"\*\*|~~|(?<!\w)[*_](?=\w)|(?<=\w)[*_](?!\w)", "", cell) if not _PLACEHOLDER.search(cell) else cell.replace("**", "")
+            plain = re.sub(r"\*\*|~~|(?<!\w)[*_](?=\w)|(?<=\w)[*_](?!\w)", "", cell) if not _has_placeholder(cell) else cell.replace("**", "")
             kind = _kind(plain.strip(), heading)
             if kind:
                 out.append((plain.strip(), kind))
