@@ -158,21 +158,26 @@ def gr14(spark, d):
     return g.directory_tree(functions(spark, d))
 
 
+def _modules(spark, d):
+    c, fn = materialize(calls(spark, d)), materialize(functions(spark, d).select("name", "file_path"))
+    return c, fn, materialize(g.communities(c, fn))
+
+
 @q("GR15")
 def gr15(spark, d):
-    return g.communities(calls(spark, d))
+    return _modules(spark, d)[2]
 
 
 @q("GR16")
 def gr16(spark, d):
-    _, c = _nc(spark, d)
-    return g.merge_small(materialize(g.communities(c)), c)
+    c, fn, m = _modules(spark, d)
+    return g.merge_small(m, c, functions=fn)
 
 
 @q("GR17")
 def gr17(spark, d):
-    n, c = _nc(spark, d)
-    return g.module_names(materialize(g.merge_small(materialize(g.communities(c)), c)), n)
+    c, fn, m = _modules(spark, d)
+    return g.module_names(materialize(g.merge_small(m, c, functions=fn)), nodes(spark, d))
 
 
 _DIR = "regexp_replace(file_path, '/[^/]*$', '')"

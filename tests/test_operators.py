@@ -256,3 +256,32 @@ def test_written_tables_are_released(spark):
     release(spark)
     df = materialize(spark.range(5))
     assert df.count() == 5 and release(spark) == 1 and release(spark) == 0
+
+
+def test_communities_hold_every_function_and_its_file(spark):
+    fn = [(f"p{k}", "a.cc") for k in range(5)] + [(f"q{k}", "b.cc") for k in range(5)] + [("lone", "c.cc"), ("both", "a.cc"), ("both", "b.cc"), ("both", "b.cc"), (None, "a.cc")]
+    fn = spark.createDataFrame(fn, "name string, file_path string")
+    df = spark.createDataFrame([("p0", "q0"), ("x", "y")], "src string, dst string")
+    got = {x.name: x.module for x in graph.communities(df, fn).collect()}
+    assert set(got) == {*(f"p{k}" for k in range(5)), *(f"q{k}" for k in range(5)), "lone", "both", "x", "y"}
+    assert len({got[f"p{k}"] for k in range(5)}) == 1 and {got[f"q{k}"] for k in range(5)} == {got["both"]} != {got["p0"]}
+    modules = spark.createDataFrame([(f"p{k}", "P") for k in range(5)] + [(f"q{k}", "Q") for k in range(6)] + [("new", "N")], "name string, module string")
+    beside = fn.unionByName(spark.createDataFrame([("new", "a.cc")], fn.schema))
+    assert {x.name: x.module for x in graph.merge_small(modules, df, 5, beside).collect()}["new"] == "P"
+
+
+def test_communities_are_stable(spark):
+    fn = [(f"n{k * k % 37}", f"f{k % 6}.cc") for k in range(90)]
+    edges = sorted({(f"n{k % 37}", f"n{k * 5 % 37}") for k in range(60) if k % 37 != k * 5 % 37})
+    got = {x.name: x.module for x in graph.communities(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(fn, "name string, file_path string")).collect()}
+    for name, module in got.items():
+        w = {module: 0.5}
+        for a, b in edges:
+            for me, other in ((a, b), (b, a)):
+                if me == name:
+                    w[got[other]] = w.get(got[other], 0) + 1
+        for me, f in fn:
+            for other, g in fn:
+                if me == name and other != name and f == g:
+                    w[got[other]] = w.get(got[other], 0) + 0.5
+        assert module == min(w, key=lambda m: (-w[m], m))
