@@ -5,11 +5,14 @@ trusted labels: residue of a kind, or report where a segment names code. What
 the rules don't know is linked to labelled segments by near-duplicates: SimHash
 tables over permuted bit blocks find candidates, the Hamming distance and the
 similarity of the texts verify them, and residue labels spread through the
-connected components. A body is residue if all its segments are.
+connected components. SimHash misses many pairs of that similarity; a join on
+prefixes of the shingle sets finds all of them. A body is residue if all its
+segments are.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
@@ -17,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.text import normalise
@@ -293,6 +296,33 @@ def _tables(batches):
         )
 
 
+def prefix_keys(text: str) -> list[int]:
+    """Keys of which any two texts that ``_alike`` keeps share one.
+
+    Of two sets of shingles as similar as MIN_SIMILARITY each holds all but a
+    few of the other's, so their smallest hashes, those few and one more, meet.
+    The last key is the text without spaces.
+    """
+    h = sorted({xxhash.xxh3_64_intdigest("\t".join(s)) for s in _word_shingles(text)})
+    keys = h[: len(h) - math.ceil(MIN_SIMILARITY * len(h) - 1e-9) + 1] if len(h) > 1 else []
+    return [*keys, xxhash.xxh3_64_intdigest(text.replace(" ", ""))]
+
+
+def _prefixes(batches):
+    """One row per segment and prefix key."""
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        keys = [prefix_keys(t) for t in texts]
+        rep = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+        sizes = pa.array([len(_word_shingles(t)) for t in texts], pa.int64())
+        bits = np.array([x for k in keys for x in k], dtype=np.uint64).view(np.int64)
+        table = np.array([t for k in keys for t in [0] * (len(k) - 1) + [1]], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("node").take(rep), b.column("seed").take(rep), sizes.take(rep), pa.array(table), pa.array(bits)],
+            ["node", "seed", "sim", "table", "bits"],
+        )
+
+
 def _alike(pdf_iter):
     for pdf in pdf_iter:
         keep = []
@@ -302,13 +332,12 @@ def _alike(pdf_iter):
         yield pdf.loc[keep, ["a", "b"]]
 
 
-def similar_segments(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between segments (node long, text, seed boolean) that are near-duplicates.
+def _verified(nodes: DataFrame, kept: DataFrame, near: Column) -> DataFrame:
+    """Links (a, b) between nodes that share a key (table, bits) of ``kept``, pass ``near`` and are alike.
 
     Only links with at least one unknown end are needed. A table key with many
     segments is cut into cells of ``BUCKET_ROWS`` that meet pairwise.
     """
-    kept = materialize(nodes.mapInArrow(_tables, "node long, seed boolean, sim long, table int, bits long"))
     sizes = kept.groupBy("table", "bits").agg(F.count("*").alias("m")).where(F.col("m") > 1)
     hot = sizes.where(F.col("m") > BUCKET_ROWS).select("table", "bits", F.ceil(F.col("m") / BUCKET_ROWS).cast("int").alias("nb"))
     rows = kept.join(hot, ["table", "bits"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
@@ -316,17 +345,31 @@ def similar_segments(nodes: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     side = lambda s: rows.select("table", "bits", "lo", "hi", F.col("node").alias(s), *[F.col(c).alias(c + s) for c in ("sim", "seed", "own")])
-    near = (
+    pairs = (
         side("a").join(side("b"), ["table", "bits", "lo", "hi"])
         .where((F.col("a") < F.col("b")) & ((F.col("owna") != F.col("ownb")) | (F.col("lo") == F.col("hi"))))
-        .where(~(F.col("seeda") & F.col("seedb")) & (F.bit_count(F.col("sima").bitwiseXOR(F.col("simb"))) <= MAX_BITS))
+        .where(~(F.col("seeda") & F.col("seedb")) & near)
         .select("a", "b").distinct()
     )
     text = nodes.select("node", "text")
-    both = near.join(text.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(text.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
+    both = pairs.join(text.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(text.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
     return both.select("a", "b", "ta", "tb").mapInPandas(_alike, "a long, b long")
 
 
+def similar_segments(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between segments (node long, text, seed boolean) that are near-duplicates within MAX_BITS."""
+    kept = materialize(nodes.mapInArrow(_tables, "node long, seed boolean, sim long, table int, bits long"))
+    return _verified(nodes, kept, F.bit_count(F.col("sima").bitwiseXOR(F.col("simb"))) <= MAX_BITS)
+
+
+def similar_shingles(nodes: DataFrame) -> DataFrame:
+    """All links (a, b) between segments (node long, text, seed boolean) at MIN_SIMILARITY or more, at any SimHash distance."""
+    kept = materialize(nodes.mapInArrow(_prefixes, "node long, seed boolean, sim long, table int, bits long"))
+    # ``sim`` holds the number of shingles here; texts equal but for spaces may have any
+    near = (F.col("table") == 1) | (F.least("sima", "simb") >= MIN_SIMILARITY * F.greatest("sima", "simb"))
+    return _verified(nodes, kept, near)
+
+
 def spread_labels(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node) of all nodes whose connected component holds a seed (node)."""
     ends = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -353,7 +396,8 @@ def residue_bodies(issues: DataFrame, id_col: str = "id", body_col: str = "body"
     open_ = read.select(F.explode("unknown").alias("text"), F.lit(False).alias("seed"))
     nodes = known.unionByName(open_).where(F.col("text") != "").groupBy("text").agg(F.max("seed").alias("seed"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
-    reached = spread_labels(similar_segments(nodes), nodes.where("seed"))
+    links = similar_segments(nodes).unionByName(similar_shingles(nodes))
+    reached = spread_labels(links, nodes.where("seed"))
     spread = materialize(nodes.where("NOT seed").join(reached, "node").select(F.col("text").alias("u")))
 
     clear = read.where(~F.col("report"))

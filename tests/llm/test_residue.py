@@ -74,3 +74,47 @@ def test_spread_follows_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (9, 9)], "a long, b long")
     seeds = spark.createDataFrame([(4,), (20,)], "node long")
     assert sorted(x.node for x in spread_labels(links, seeds).collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("bucket", [2, 256])
+def test_prefixes_find_all_similar_segments(spark, monkeypatch, bucket):
+    monkeypatch.setattr(residue, "BUCKET_ROWS", bucket)
+    r = random.Random(7)
+    words = [f"{a}{b}" for a in "bcdfglmn" for b in ("ora", "ine", "ust", "ek")]
+    texts = {"ab cd", "abc d", "a b c d e f", "abc d e f"}
+    for n in (15, 25, 60):
+        for _ in range(4):
+            base = [r.choice(words) for _ in range(n)]
+            for _ in range(8):
+                w = list(base)
+                for _ in range(r.choice([0, 1, 2])):
+                    w[r.randrange(n)] = r.choice(words)
+                texts.add(" ".join(w))
+    nodes = [(k, t, k % 5 == 0) for k, t in enumerate(sorted(texts))]
+    want, far = set(), 0
+    for a, ta, sa in nodes:
+        for b, tb, sb in nodes:
+            x, y = residue._word_shingles(ta), residue._word_shingles(tb)
+            if a < b and not (sa and sb) and (len(x & y) >= 0.8 * len(x | y) or ta.replace(" ", "") == tb.replace(" ", "")):
+                want.add((a, b))
+                far += bin((simhash(ta) ^ simhash(tb)) & (2**64 - 1)).count("1") > MAX_BITS
+    df = spark.createDataFrame(nodes, "node long, text string, seed boolean")
+    got = [tuple(x) for x in residue.similar_shingles(df).collect()]
+    assert set(got) == want and len(got) == len(want) and far
+
+
+def test_light_edits_of_a_notice_get_its_label(spark):
+    r = random.Random(1)
+    words = [f"{a}{b}" for a in "bcdfglmn" for b in ("ora", "ine", "ust", "ek")]
+    page = [r.choice(words) for _ in range(60)]
+    seed = "please enable javascript " + " ".join(page)
+    edits = []
+    for k in range(57):
+        w = list(page)
+        w[k] = "zzyzx"
+        edits.append(" ".join(["please enable", *w]))
+    far = [e for e in edits if bin((simhash(seed) ^ simhash(e)) & (2**64 - 1)).count("1") > MAX_BITS]
+    far = [e for e in far if len(residue._word_shingles(e) & residue._word_shingles(seed)) >= 0.8 * len(residue._word_shingles(e) | residue._word_shingles(seed))]
+    assert far and {k for _, k in segments(far[0])} == {"unknown"}
+    df = spark.createDataFrame([("a", seed), ("b", far[0])], "id string, body string")
+    assert sorted(x.id for x in residue_bodies(df).collect()) == ["a", "b"]
