@@ -10,6 +10,7 @@ the lines) find generated, minified and blob files.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from codequarry.session import join_on_keys, materialize
 
-#: Lines at the top of a body in which a header counts.
+#: Lines at the top of a body in which a header counts; a comment block that begins the body counts to its end.
 HEADER_LINES = 12
 #: Characters of a line from which the layout may be minified.
 LONG_LINE = 300
@@ -44,7 +45,11 @@ _PATHS = (
 )
 _PATHS = tuple((k, re.compile(p, re.I)) for k, p in _PATHS)
 
-_COMMENT = re.compile(r"^\s*(?://+|/\*+|\*+(?!\w)|#(?!\s*(?:include|define|if|ifdef|ifndef|endif|else|pragma|undef)\b)|--|;+|<!--|\"\"\"|%|REM\b)\s*(.*?)\s*(?:\*/|-->)?\s*$")
+_COMMENT = re.compile(r"^\s*(//+|/\*+|\*+(?!\w)|#(?!\s*(?:include|define|if|ifdef|ifndef|endif|else|pragma|undef)\b)|--|;+|<!--|\"\"\"|%|REM\b)\s*")
+_SHUT = {"/*": "*/", "<!": "-->", '""': '"""'}
+_SHUT_LAST = re.compile(r"\s*(?:\*/|-->)?\s*\Z")
+#: Lines that may stand before or inside the comments that begin a body.
+_PREAMBLE = re.compile(r"^\s*(?:<\?(?:php|xml)\b.*|#\s*(?:pragma|ifndef|define)\b.*|@charset\b.*|['\"]use strict['\"];?)?\s*$")
 _MADE = re.compile(
     r"""@generated\b|@autogenerated\b|\b(?:auto(?:matically)?|machine)[\s-]*generated\b(?!\s+(?:by\s+hand|version|output|code\s+goes))|\bautogenerated\b
     |\b(?:file|code|source|module|parser|lexer|header|this|stub|binding)s?\s+(?:is|are|was|were|has\s+been)\s+(?:automatically\s+)?(?:generated|produced|created|emitted|built)\s+(?:by|from|with|using|automatically)\b
@@ -54,7 +59,7 @@ _MADE = re.compile(
     |(?:本|此|该)?文件(?:由|是).{0,20}(?:自动)?生成|自动生成.{0,6}(?:请勿|不要|切勿)|请勿(?:手工|手动|直接|人工)?(?:修改|编辑|更改)|(?:automatisch\s+(?:erzeugt|generiert))|generado\s+automáticamente|généré\s+automatiquement|自動生成""",
     re.I | re.X,
 )
-_LINE_OF = re.compile(r'^\s*#\s*(?:line\s+)?\d+\s+"[^"]+\.(?:y|yy|ypp|l|ll|lpp|g4|re|rl|def|idl|proto)"')
+_LINE_OF = re.compile(r'^[^\S\n]*#[^\S\n]*(?:line[^\S\n]+)?\d+[^\S\n]+"[^"\n]+\.(?:y|yy|ypp|l|ll|lpp|g4|re|rl|def|idl|proto)"', re.M)
 _COPIED = re.compile(
     r"""\b(?:upstream|verbatim|vendored|unmodified|third[\s-]party)\s+(?:copy|source|snapshot|import|release)\b|\bcopied\s+(?:verbatim\s+|unchanged\s+)?from\b|\bimported\s+(?:verbatim\s+|unchanged\s+)?from\s+(?:upstream|the\b|https?:)
     |\bvendored\s+from\b|\breport\s+bugs\s+to\s+the\s+\S+\s+project\b|\blocal\s+(?:changes|modifications)\s*:\s*none\b|\bpart\s+of\s+the\s+\S+\s+(?:library|distribution)\b.*\bnot\s+(?:part\s+of\s+)?this\b""",
@@ -80,17 +85,42 @@ def clean_path(path: str) -> str:
     return p
 
 
+def _comments(body: str) -> Iterator[str]:
+    """Texts of the comment lines at the top: of the first lines, and of the comment block that begins the body to its end."""
+    shut, top = "", True  # what ends the open block comment; nothing but comments so far
+    at = k = 0
+    while at < len(body) and (top or k < HEADER_LINES):
+        end = body.find("\n", at)
+        end = len(body) if end < 0 else end
+        line, at, k = body[at:end], end + 1, k + 1
+        while True:
+            m = _COMMENT.match(line)
+            if shut:
+                said, closed, rest = line.partition(shut)
+                if top or m:
+                    m = _COMMENT.match(said)
+                    yield said[m.end() if m else 0 :].strip()
+                if not closed:
+                    break
+                shut, line = "", rest
+            elif m:
+                shut = _SHUT.get(m[1][:2], "")
+                line = line[m.end() :]
+                if not shut:
+                    yield _SHUT_LAST.sub("", line) if len(line) < 4000 else line
+                    break
+            else:
+                top = top and bool(_PREAMBLE.match(line))
+                break
+
+
 def _header(body: str) -> int:
-    kinds = 0
-    for line in body[:4000].split("\n")[:HEADER_LINES]:
-        if _LINE_OF.match(line):
+    kinds = GENERATED if "#" in body and _LINE_OF.search(body) else 0
+    for said in _comments(body):
+        if _MADE.search(said):
             kinds |= GENERATED
-        m = _COMMENT.match(line)
-        if m:
-            if _MADE.search(m[1]):
-                kinds |= GENERATED
-            if _COPIED.search(m[1]):
-                kinds |= VENDORED
+        if _COPIED.search(said):
+            kinds |= VENDORED
     return kinds
 
 

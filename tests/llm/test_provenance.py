@@ -68,3 +68,17 @@ def test_tree_hashes_do_not_depend_on_order_or_place(spark):
     assert tree["p", "a/x"].hash != tree["q", "b/c/x"].hash and tree["q", "b/c"].files == 3
     same = merkle_tree(df.where("path <> 'b/c/x/3'"))
     assert {(x.repo, x.path) for x in shared_subtrees(same, 2, 100).collect()} == {("p", "a"), ("p", "a/x"), ("q", "b/c"), ("q", "b/c/x")}
+
+
+def test_headers_below_long_comments():
+    licence = "".join(f"// clause {k} of the licence, which is a long one\n" for k in range(120))
+    block = "/*\n" + "".join(f"   clause {k} of the licence\n" for k in range(40))
+    made = "Code generated by rowgen. DO NOT EDIT.\n"
+    code = "int a() {\n" + "    b();\n" * 30
+    assert body_kinds(licence + "// " + made + code) == GENERATED
+    assert body_kinds(block + "\n   " + made + "*/\n" + code) == GENERATED
+    assert body_kinds("#!/bin/sh\n\n" + licence.replace("//", "#") + "# Copied verbatim from https://x.example\nrun\n") == VENDORED
+    assert body_kinds(code + '#line 7 "src/row.y"\n' + code) == GENERATED
+    assert body_kinds(code + "// " + made + "}\n") == 0
+    assert body_kinds(block + "*/\n" + code + "/* " + made + "*/\n") == 0
+    assert body_kinds(code + '    puts("# 7");\n') == 0
