@@ -40,10 +40,18 @@ BEFORE_ORDINAL = frozenset("am der dem den des zum vom im jeder jedem jeden seit
 
 OPEN = {"(": ")", "（": "）", "[": "]", "［": "］", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“", "【": "】", "《": "》"}
 CLOSE = frozenset(OPEN.values()) | {'"', "”"}
-_CLOSERS = re.escape("".join(sorted(CLOSE))) + "'’›*"
-_WIDE = "。！？｡．"
+_ALL = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+_TERMINATORS = "".join(regex.findall(r"[\p{SB=STerm}\p{SB=ATerm}]", _ALL))
+#: Marks that close after a terminator: the closing ones of the property; it holds the opening ones too.
+_SHUTTING = "".join(regex.findall(r"(?=\p{SB=Close})[^\p{Ps}\p{Pi}]", _ALL))
+_CLOSERS = re.escape("".join(sorted({*CLOSE, *_SHUTTING}))) + "'’›*"
+del _ALL
+_WIDE = "。！？｡．﹒﹖﹗"
 _PLAIN = ".!?…؟।॥۔።՞՜։"
-_MARK = re.compile(rf"(?P<marks>[{_PLAIN}{_WIDE}]+)(?P<close>(?:\s?[»›]|[{_CLOSERS}])*)")
+#: Terminators that may stand inside of a word, so that white space must follow.
+_SPACED = frozenset(_PLAIN) - frozenset("।॥؟") | frozenset("‼⁇⁈⁉․")
+_MARK = re.compile(rf"(?P<marks>[{re.escape(_TERMINATORS + _PLAIN + _WIDE)}]+)(?P<close>(?:\s?[»›]|[{_CLOSERS}])*)")
+_CONTINUES = regex.compile(r"\p{SB=SContinue}")
 _PAIRED = re.compile("[" + re.escape("".join(OPEN) + "".join(CLOSE)) + "`]")
 _WORD_BEFORE = regex.compile(r"[^\s(（\[\"“„«「『]*\Z")
 _FORMAT = regex.compile(r"\p{Cf}+")
@@ -142,7 +150,7 @@ def _goes_on(word: str) -> bool:
 
 def _ends(s: str, m: re.Match) -> bool:
     """Whether the mark ends a sentence that something follows in the same block."""
-    marks, close, end = m["marks"], m["close"], m.end()
+    marks, close, end = m["marks"].replace("․", "."), m["close"], m.end()
     follows = s[end]
     spaced = follows.isspace()
     if not spaced:
@@ -150,9 +158,11 @@ def _ends(s: str, m: re.Match) -> bool:
             if follows in _CJK_ON:
                 return False
             return not (close and follows in _JA_ON)
-        if marks[-1] in "!?" and "一" <= follows <= "鿿":
+        if marks[-1] in "!?‼⁇⁈⁉" and "一" <= follows <= "鿿":
             return True
-        return marks[-1] in "।॥؟"
+        if marks[-1] in "।॥؟":
+            return True
+        return marks[-1] not in _SPACED and not _CONTINUES.match(follows)
     word = _NEXT.match(s, _SPACE.match(s, end).end()).group(1)
     if marks[-1] in _WIDE:
         return True

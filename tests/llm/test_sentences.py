@@ -80,3 +80,18 @@ def test_units_cover_all_text_but_white_space(spark, sf):
     got = {(x.doc_id, x.unit_start, x.unit_end) for x in sentence_units(df).collect()}
     assert got == {(k, a, b) for k, t in enumerate(odd) if t for a, b in units(t)}
     assert sentence_units(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("mark", "။ ។ ܀ ᠃ ፧ ‼ ⁇ ﹒ ﹖ ﹗ ᙮ ꓿ 𑁇 ⸮".split())
+def test_terminators_of_all_scripts(mark):
+    assert cut(f"Ein Wort{mark} Noch eins{mark}") == [f"Ein Wort{mark}", f"Noch eins{mark}"]
+    assert cut(f"Ein Wort{mark}❞ Noch eins.") == [f"Ein Wort{mark}❞", "Noch eins."]
+
+
+def test_terminators_cover_the_property():
+    import regex
+
+    from codequarry.llm.sentences import _MARK
+
+    marks = [chr(c) for c in range(0x110000) if regex.match(r"[\p{SB=STerm}\p{SB=ATerm}]", chr(c))]
+    assert len(marks) > 150 and all(_MARK.match(c) for c in marks)
