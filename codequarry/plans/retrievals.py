@@ -208,6 +208,12 @@ def rt20(spark, d):
     return h.select("file_path", F.coalesce(F.nullif(F.regexp_extract("h.text", r"(\w+)\s*\(", 1), F.lit("")), F.lit("unknown")).alias("name"), F.substring("h.text", 1, 800).alias("text"))
 
 
+@q("RT20_code")
+def rt20_code(spark, d):
+    hits = r.grep(lines(spark, d), "throw ", fixed=True, ignore_case=False)
+    return r.grep_functions(hits, table(spark, d, "retrieved_functions"))
+
+
 @q("RT22", f"{_R} SELECT DISTINCT file_path || ':' || start_line AS place FROM (SELECT u.file_path, u.start_line FROM (SELECT unnest(rf) AS u FROM once) z) y WHERE file_path IS NOT NULL AND start_line IS NOT NULL")
 def rt22(spark, d):
     u = _once(spark, d).select(F.explode("retrieved_functions").alias("u")).where("u.file_path IS NOT NULL AND u.start_line IS NOT NULL")

@@ -285,3 +285,17 @@ def test_communities_are_stable(spark):
                 if me == name and other != name and f == g:
                     w[got[other]] = w.get(got[other], 0) + 0.5
         assert module == min(w, key=lambda m: (-w[m], m))
+
+
+def test_grep_functions_take_the_longer_code(spark):
+    hits = [(2, 9, "a.cc", "  x();"), (1, 4, "a.cc", "run(throw 1)"), (1, 1, "b.cc", "if (x) throw 2;"), (1, 1, "c.cc", "go( throw 3 and a longer line than the code"), (1, 2, "d.cc", "y" * 900)]
+    hits = spark.createDataFrame(hits, "rf_id long, line_no int, file_path string, text string").repartition(3)
+    long = "\n".join(f"line {k}" for k in range(60))
+    bodies = [(5, "a.cc", "run", long), (6, "a.cc", "run", "later"), (5, "b.cc", "run", long), (5, "c.cc", "go", "short"), (None, "a.cc", "run", "none")]
+    bodies = spark.createDataFrame(bodies, "rf_id long, file_path string, name string, body string")
+    got = {x.file_path: (x.name, x.text) for x in retrieval.grep_functions(hits, bodies).collect()}
+    assert got == {
+        "a.cc": ("run", "\n".join(long.split("\n")[:40])), "b.cc": ("unknown", "if (x) throw 2;"),
+        "c.cc": ("go", "go( throw 3 and a longer line than the code"), "d.cc": ("unknown", "y" * 800),
+    }
+    assert retrieval.grep_functions(hits, bodies.limit(0)).where("file_path = 'a.cc'").first().text == "run(throw 1)\n  x();"
