@@ -4,7 +4,8 @@ Merkle hashes are computed bottom-up over the directory trees: a file's hash
 combines the hashes of its distinct bodies, a directory's hash those of its
 named entries. A subtree that unrelated projects share is vendored. Header
 rules (comments at the top of a body) and layout rules (the path, the shape of
-the lines) find generated, minified and blob files.
+the lines) find generated, minified and blob files, and folders that are named
+for third parties.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ LONG_LINE = 300
 BLOB_LITERALS, BLOB_SHARE = 96, 0.8
 #: Characters of text from which one shared file is taken for a copy, and files from which a subtree is.
 COPY_CHARS, COPY_FILES = 2_000, 3
-MAX_DEPTH = 64
 
 VENDORED, GENERATED, MINIFIED, DATA = 1, 2, 4, 8
 KINDS = {VENDORED: "vendored", GENERATED: "generated", MINIFIED: "minified", DATA: "data"}
 
+_VENDOR_DIRS = r"(?:vendors?|vendored|third[_-]?party|3rd[_-]?party|node_modules|bower_components|jspm_packages|site-packages|godeps|pods|subprojects)"
+#: The folder of one third party, for the regular expressions of the SQL engine.
+_THIRD = rf"(?i)^((?:.*/)?{_VENDOR_DIRS}/[^/]+)(?:/|$)"
 _PATHS = (
-    (VENDORED, r"(?:^|/)(?:vendors?|vendored|third[_-]?party|3rd[_-]?party|node_modules|bower_components|jspm_packages|site-packages|godeps|pods|subprojects)/"),
+    (VENDORED, rf"(?:^|/){_VENDOR_DIRS}/"),
     (GENERATED, r"^(?:build|out|target|bazel-[\w-]+|cmake-build-[\w-]+)/|(?:^|/)(?:generated|__generated__|autogen|out/[^/]+/gen)/"),
     (MINIFIED, r"(?:^|/)dist/|[.-]min\.(?:js|mjs|cjs|css)$|\.bundle\.(?:js|css)$|\.(?:js|css)\.map$|(?:^|/)chunk[.-][0-9a-f]{6,}\b[^/]*\.js$"),
     (
@@ -168,91 +171,108 @@ def _signed(x: int) -> int:
 def _scan(batches):
     for b in batches:
         paths = b.column(0).to_pylist()
-        kinds, hashes, sizes = [], [], []
-        for p, body in zip(paths, b.column(1).to_pylist()):
-            k, h, n = path_kinds(p), None, 0
+        content, hashes, sizes = [], [], []
+        for body in b.column(1).to_pylist():
+            k, h, n = 0, None, 0
             if body:
-                k |= body_kinds(body)
+                k = body_kinds(body)
                 plain = body.replace("\r\n", "\n").strip()
                 h, n = _signed(xxhash.xxh3_64_intdigest(plain)), len(plain)
-            kinds.append(k)
+            content.append(k)
             hashes.append(h)
             sizes.append(n)
+        bits = lambda kinds: pa.array(np.array(kinds, dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
-            [b.column(2), b.column(0), pa.array([clean_path(p) for p in paths], pa.string()), pa.array(np.array(kinds, dtype=np.int32)), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())],
-            ["repo", "file_path", "path", "kinds", "hash", "chars"],
+            [b.column(2), b.column(0), pa.array([clean_path(p) for p in paths], pa.string()), bits([path_kinds(p) for p in paths]), bits(content), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())],
+            ["repo", "file_path", "path", "layout", "content", "hash", "chars"],
         )
 
 
 def merkle_tree(files: DataFrame) -> DataFrame:
-    """(repo, path, depth, hash, files, chars) of every file and directory.
-
-    ``files`` has (repo, path, hash, chars), one row per file. A hash is the
-    exclusive or over the hashes of (entry name, entry hash), so that a
-    directory's hash combines inside each map task and no large directory is
-    gathered. The root of a repository is not a node.
+    """(repo, path, hash, files, chars) of every file and directory.
+
+    ``files`` has (repo, path, hash, chars), one row per file. A file hands its
+    hash up: at each directory above it is hashed with the name of the entry it
+    came through, and a directory's hash is the exclusive or over what reaches
+    it. So two directories are equal if the same files lie at the same places
+    below them, whatever they are called. All levels combine in one aggregation
+    inside the map tasks; no directory is gathered and no depth is left out.
+    The root of a repository is not a node.
     """
-    cut = F.expr("length(path) - length(substring_index(path, '/', -1)) - 1")
-    level = materialize(
-        files.select(
-            "repo", "path", (F.size(F.split("path", "/")) - 1).alias("depth"), "hash",
-            F.lit(1).cast("long").alias("files"), "chars",
-        )
-    )
-    deepest = min(level.agg(F.max("depth")).first()[0] or 0, MAX_DEPTH)
-    nodes, above = level, None
-    for d in range(deepest, 0, -1):
-        here = level.where(F.col("depth") == d if d < MAX_DEPTH else F.col("depth") >= d)
-        here = here if above is None else here.unionByName(above)
-        above = (
-            here.withColumn("name", F.substring_index("path", "/", -1))
-            .withColumn("path", F.substring("path", F.lit(1), cut))
-            .groupBy("repo", "path")
-            .agg(
-                F.expr("bit_xor(xxhash64(name, hash, files))").alias("hash"),
-                F.sum("files").alias("files"), F.sum("chars").alias("chars"),
-            )
-            .withColumn("depth", F.lit(d - 1))
-        )
-        above = materialize(above.select("repo", "path", "depth", "hash", "files", "chars"))
-        nodes = nodes.unionByName(above)
-    return nodes
+    parts = F.split("path", "/")
+    entries = F.reverse(F.slice(parts, 2, F.size(parts)))
+    own = F.array(F.coalesce("hash", F.lit(0).cast("long")))
+    up = F.aggregate(entries, own, lambda acc, name: F.concat(acc, F.array(F.xxhash64(name, F.element_at(acc, -1)))))
+    each = files.select("repo", "chars", parts.alias("parts"), F.col("hash").alias("whole"), F.posexplode(up).alias("k", "h"))
+    node = F.array_join(F.slice("parts", 1, F.size("parts") - F.col("k")), "/")
+    # a file without a body is an entry of its directories, but no hash of its own
+    node_hash = F.when((F.col("k") > 0) | F.col("whole").isNotNull(), F.col("h"))
+    return (
+        each.select("repo", node.alias("path"), node_hash.alias("h"), "chars")
+        .groupBy("repo", "path")
+        .agg(F.bit_xor("h").alias("hash"), F.count("*").alias("files"), F.sum("chars").alias("chars"))
+    )
 
 
 def shared_subtrees(tree: DataFrame, min_files: int = COPY_FILES, min_chars: int = COPY_CHARS) -> DataFrame:
-    """(repo, path) of the nodes whose hash occurs in more than one repository.
-
-    Small nodes prove nothing: a directory counts from ``min_files`` files on, a
-    file from ``min_chars`` characters on.
+    """(repo, path) of the nodes whose hash occurs in unrelated projects.
+
+    A project is a repository or, inside of one, the folder of one third party
+    (``third_party/name``). Copies within one project are its own. Where
+    exactly one repository holds the content outside of such a folder and
+    another one inside, that one is its origin and is left out. Small nodes
+    prove nothing: a directory counts from ``min_files`` files on, a file from
+    ``min_chars`` characters on.
     """
+    held = F.regexp_extract("path", _THIRD, 1)
     large = tree.where((F.col("hash").isNotNull()) & (((F.col("files") >= min_files) & (F.col("chars") > 0)) | (F.col("chars") >= min_chars)))
-    span = large.groupBy("hash", "files").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).where(F.col("lo") < F.col("hi"))
-    return large.join(span.select("hash", "files"), ["hash", "files"]).select("repo", "path")
+    large = large.select("repo", "path", "hash", "files", held.alias("held"))
+    outside, inside = F.when(F.col("held") == "", F.col("repo")), F.when(F.col("held") != "", F.col("repo"))
+    project = F.struct("repo", "held")
+    span = large.groupBy("hash", "files").agg(
+        F.min(project).alias("lo"), F.max(project).alias("hi"),
+        F.min(outside).alias("out_lo"), F.max(outside).alias("out_hi"), F.min(inside).alias("in_lo"), F.max(inside).alias("in_hi"),
+    ).where("lo < hi")
+    origin = (F.col("held") == "") & (F.col("out_lo") == F.col("out_hi")) & ((F.col("in_lo") != F.col("repo")) | (F.col("in_hi") != F.col("repo")))
+    return large.join(span, ["hash", "files"]).where(~F.coalesce(origin, F.lit(False))).select("repo", "path")
 
 
-def file_kinds(functions: DataFrame, path_col: str = "file_path", body_col: str = "body", repo_col: str | None = None) -> DataFrame:
-    """(file_path, kinds) of every non-null path as stored; kinds is a bit set, 0 for hand-written.
+#: What shows that a path is not hand-written; ``file_rules`` names them.
+RULES = ("layout", "content", "subtree")
+
+
+def file_rules(functions: DataFrame, path_col: str = "file_path", body_col: str = "body", repo_col: str | None = None) -> DataFrame:
+    """(file_path, layout, content, subtree): the kinds that each sort of rule gives to a path as stored, as bit sets.
 
     A path counts by its own spelling for headers and layout; for the trees all
-    spellings of a file are one. Without ``repo_col`` the first directory
-    stands for the project. Null and empty bodies show nothing.
+    spellings of a file are one. Without ``repo_col`` all paths are one
+    repository, in which the folders of third parties are projects of their
+    own. Null and empty bodies show nothing.
     """
-    repo = F.col(repo_col).cast("string") if repo_col else F.lit(None).cast("string")
+    repo = F.coalesce(F.col(repo_col).cast("string"), F.lit("")) if repo_col else F.lit("")
     src = functions.where(F.col(path_col).isNotNull())
     read = src.select(F.col(path_col).alias("file_path"), F.col(body_col).alias("body"), repo.alias("repo")).mapInArrow(
-        _scan, "repo string, file_path string, path string, kinds int, hash long, chars long"
+        _scan, "repo string, file_path string, path string, layout int, content int, hash long, chars long"
+    )
+    rows = materialize(
+        read.groupBy("repo", "file_path", "path", "hash").agg(F.max("chars").alias("chars"), F.bit_or("layout").alias("layout"), F.bit_or("content").alias("content"))
     )
-    read = read.withColumn("repo", F.coalesce("repo", F.substring_index("path", "/", 1)))
-    rows = materialize(read.groupBy("repo", "file_path", "path", "hash").agg(F.max("chars").alias("chars"), F.bit_or("kinds").alias("kinds")))
-    own = rows.groupBy("file_path").agg(F.bit_or("kinds").alias("kinds"))
+    own = rows.groupBy("file_path").agg(F.bit_or("layout").alias("layout"), F.bit_or("content").alias("content"))
     once = rows.where(F.col("hash").isNotNull()).groupBy("repo", "path", "hash").agg(F.max("chars").alias("chars"))
     files = once.groupBy("repo", "path").agg(F.expr("bit_xor(xxhash64(hash))").alias("hash"), F.sum("chars").alias("chars"))
     shared = materialize(shared_subtrees(merkle_tree(files)).distinct())
     parts = F.split("path", "/")
     every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     up = rows.select("repo", "file_path", "path").distinct().withColumn("path", F.explode(every))
-    copies = join_on_keys(up, shared, ["repo", "path"], "file_path").select("file_path", F.lit(VENDORED).alias("kinds"))
-    return own.unionByName(copies).groupBy("file_path").agg(F.bit_or("kinds").alias("kinds"))
+    copies = join_on_keys(up, shared, ["repo", "path"], "file_path").select("file_path", F.lit(0).alias("layout"), F.lit(0).alias("content"), F.lit(VENDORED).alias("subtree"))
+    all_ = own.withColumn("subtree", F.lit(0)).unionByName(copies)
+    return all_.groupBy("file_path").agg(*[F.bit_or(c).alias(c) for c in RULES])
+
+
+def file_kinds(functions: DataFrame, **cols) -> DataFrame:
+    """(file_path, kinds) of every non-null path as stored; kinds is a bit set, 0 for hand-written."""
+    kinds = F.col("layout").bitwiseOR(F.col("content")).bitwiseOR(F.col("subtree"))
+    return file_rules(functions, **cols).select("file_path", kinds.alias("kinds"))
 
 
 def not_hand_written(functions: DataFrame, **cols) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from codequarry.llm.provenance import DATA, GENERATED, MINIFIED, VENDORED, body_kinds, file_kinds, merkle_tree, not_hand_written, path_kinds, shared_subtrees
+from codequarry.llm.provenance import DATA, GENERATED, MINIFIED, VENDORED, body_kinds, file_kinds, file_rules, merkle_tree, not_hand_written, path_kinds, shared_subtrees
 
 CODE = "int run(Pool & x) {\n    // may still hold the fence\n    return fold_x(9, 0xaa);\n}\n"
 TABLE = "static const unsigned char k_x[1200] = {\n" + "".join("  " + ", ".join(f"0x{(k * j) % 256:02x}" for k in range(12)) + ",\n" for j in range(100)) + "};\n"
@@ -60,14 +60,52 @@ def test_subtrees_shared_by_projects_are_vendored(spark):
     assert {p for p, _ in got} == want and {k for _, k in got} == {VENDORED}
 
 
+def test_only_the_subtree_shows_a_copy_without_a_telling_path(spark):
+    lib = [(n, f"int {n[0]};\n" * 3) for n in ("a.c", "b.c", "in/c.c", "in/d.c")]
+    rows = [(f"third_party/zlib/{n}", b) for n, b in lib] + [(f"src/compress/{n}", b) for n, b in lib] + [(f"src/own/{n}", b + "x") for n, b in lib]
+    # copies inside of the project are its own
+    rows += [("src/core/big.c", CODE * 40), ("tests/copy/big.c", CODE * 40)]
+    got = {x.file_path: (x.layout, x.content, x.subtree) for x in file_rules(spark.createDataFrame(rows, "file_path string, body string")).collect()}
+    assert {p for p, k in got.items() if k == (0, 0, VENDORED)} == {f"src/compress/{n}" for n, _ in lib}
+    assert {p for p, k in got.items() if any(k)} == {f"{d}/{n}" for n, _ in lib for d in ("third_party/zlib", "src/compress")}
+
+
+def test_the_origin_of_a_copy_is_hand_written(spark):
+    lib = [(f"f{k}.c", f"int f{k};\n" * 3) for k in range(4)]
+    rows = [("zlib", f"src/{n}", b) for n, b in lib] + [("app", f"lib/z/{n}", b + "y") for n, b in lib] + [("app", f"vendor/zlib/src/{n}", b) for n, b in lib]
+    df = spark.createDataFrame(rows, "repo string, file_path string, body string")
+    assert {x.file_path for x in file_kinds(df, repo_col="repo").where("kinds <> 0").collect()} == {f"vendor/zlib/src/f{k}.c" for k in range(4)}
+
+
 def test_tree_hashes_do_not_depend_on_order_or_place(spark):
-    rows = [("p", "a/x/1", 1, 9), ("p", "a/x/2", 2, 9), ("q", "b/c/x/2", 2, 9), ("q", "b/c/x/1", 1, 9), ("q", "b/c/x/3", 3, 9), ("p", "top", 5, 9)]
+    deep = "/".join(f"d{k}" for k in range(150))
+    rows = [("p", "a/x/1", 1, 9), ("p", "a/x/2", 2, 9), ("q", "b/c/x/2", 2, 9), ("q", "b/c/x/1", 1, 9), ("q", "b/c/x/3", 3, 9), ("p", "top", 5, 9), ("r", f"{deep}/1", 1, 9), ("s", f"e/{deep}/1", 1, 9), ("p", "a/x/none", None, 0)]
     df = spark.createDataFrame(rows, "repo string, path string, hash long, chars long")
-    tree = {(x.repo, x.path): x for x in merkle_tree(df).collect()}
-    assert set(tree) == {("p", "a"), ("p", "a/x"), ("p", "a/x/1"), ("p", "a/x/2"), ("p", "top"), ("q", "b"), ("q", "b/c"), ("q", "b/c/x"), ("q", "b/c/x/1"), ("q", "b/c/x/2"), ("q", "b/c/x/3")}
-    assert tree["p", "a/x"].hash != tree["q", "b/c/x"].hash and tree["q", "b/c"].files == 3
-    same = merkle_tree(df.where("path <> 'b/c/x/3'"))
-    assert {(x.repo, x.path) for x in shared_subtrees(same, 2, 100).collect()} == {("p", "a"), ("p", "a/x"), ("q", "b/c"), ("q", "b/c/x")}
+    tree = {(x.repo, x.path): x for x in merkle_tree(df.where("repo < 'r'")).collect()}
+    assert set(tree) == {("p", "a"), ("p", "a/x"), ("p", "a/x/1"), ("p", "a/x/2"), ("p", "a/x/none"), ("p", "top"), ("q", "b"), ("q", "b/c"), ("q", "b/c/x"), ("q", "b/c/x/1"), ("q", "b/c/x/2"), ("q", "b/c/x/3")}
+    assert tree["p", "a/x"].hash != tree["q", "b/c/x"].hash and tree["q", "b/c"].files == 3 and tree["p", "a/x/none"].hash is None
+    same = merkle_tree(df.where("path NOT IN ('b/c/x/3', 'a/x/none')"))
+    shared = {(x.repo, x.path) for x in shared_subtrees(same, 2, 100).collect()}
+    assert shared == {("p", "a"), ("p", "a/x"), ("q", "b/c"), ("q", "b/c/x")}
+    far = {(x.repo, x.path) for x in shared_subtrees(same.where("repo IN ('r', 's')"), 1, 100).collect()}
+    assert ("r", "d0") in far and ("s", "e/d0") in far and ("s", "e") not in far
+
+
+def test_tree_against_a_walk_level_by_level(spark):
+    rows = [("p", "/".join(x), k, 1) for k, x in enumerate([("a", "b", "c"), ("a", "b", "d"), ("a", "e"), ("f", "b", "c"), ("f", "b", "d"), ("g",)])]
+    rows = [(r, p, {"c": 7, "d": 8}.get(p[-1], k), n) for r, p, k, n in rows]
+
+    def walk(prefix):
+        below = {}
+        for _, p, h, _ in rows:
+            if p.startswith(prefix + "/"):
+                below.setdefault(p[len(prefix) + 1 :].split("/")[0], []).append((p, h))
+        return tuple(sorted((n, walk(f"{prefix}/{n}") if x[0][0] != f"{prefix}/{n}" else x[0][1]) for n, x in below.items()))
+
+    tree = {x.path: x.hash for x in merkle_tree(spark.createDataFrame(rows, "repo string, path string, hash long, chars long")).collect()}
+    dirs = [d for d in tree if walk(d)]
+    assert {(x, y) for x in dirs for y in dirs if tree[x] == tree[y]} == {(x, y) for x in dirs for y in dirs if walk(x) == walk(y)}
+    assert len(dirs) == 4
 
 
 def test_headers_below_long_comments():
