@@ -4,7 +4,7 @@ import random
 import pytest
 
 from codequarry.llm.encoding import VOCABULARY, PrefixEncoder, encode_texts
-from codequarry.llm.leakage import SuffixAutomaton, leak_verdicts, leaked_items
+from codequarry.llm.leakage import Matcher, SuffixAutomaton, cut_leaks, leak_verdicts, leaked_items
 from codequarry.llm.splitting import pieces, split_bodies
 from codequarry.llm.text import tokens
 
@@ -108,16 +108,20 @@ def test_automaton_against_all_runs():
     r = random.Random(2)
     for n in (2, 3, 5):
         items = [(k, [r.choice("abc") for _ in range(r.randrange(12))]) for k in range(12)]
-        auto = SuffixAutomaton(n)
+        built = SuffixAutomaton(n)
         for k, t in items:
-            auto.add(k, t)
-        auto.finish()
+            built.add(k, t)
+        auto = Matcher.load(built.packed())
         for _ in range(200):
             doc = [r.choice("abcd") for _ in range(r.randrange(20))]
-            assert set(auto.leaks(doc)) == {k for k, t in items if runs(t, doc, n)}
-            held = {tuple(t[k : k + n]) for _, t in items for k in range(len(t) - n + 1)}
-            cover = {k + j for k in range(len(doc) - n + 1) if tuple(doc[k : k + n]) in held for j in range(n)}
-            assert auto.covered(doc) == len(cover)
+            leaks = auto.leaks(doc)
+            assert set(leaks) == {k for k, t in items if runs(t, doc, n)}
+            for k, t in items:
+                held = {tuple(t[j : j + n]) for j in range(len(t) - n + 1)}
+                cover = {i + j for i in range(len(doc) - n + 1) if tuple(doc[i : i + n]) in held for j in range(n)}
+                assert {x for a, b, _ in leaks.get(k, []) for x in range(a, b)} == cover
+            long = [m for m in range(1, 13) for _, t in items if len(t) >= n and runs(t, doc, m)]
+            assert auto.longest(doc) == max(long, default=0)
 
 
 @pytest.mark.parametrize("block", [40, 1_000_000])
@@ -134,6 +138,30 @@ def test_leaks_in_blocks(spark, sf, block):
 def test_verdicts(spark):
     words = " ".join(f"w{k}" for k in range(40))
     docs = spark.createDataFrame([(1, "pre " + words.upper() + " post"), (2, "x"), (3, None), (4, " ".join(words.split()[:16]) + " z" * 400)], "doc_id long, text string")
-    items = spark.createDataFrame([(7, words, None)], "item_id long, question string, reference_answer string")
+    items = spark.createDataFrame([(7, words, None), (None, words, words)], "item_id long, question string, reference_answer string")
     got = {x.doc_id: tuple(x)[1:] for x in leak_verdicts(docs, items).collect()}
-    assert got == {1: (42, 40, 40, True), 4: (416, 16, 16, False)}
+    assert got == {1: (42, 40, 40, [(1, 41)], True), 4: (416, 16, 16, [(0, 16)], False)}
+
+
+def test_results_do_not_depend_on_blocks(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "eval_items"))
+    # eleven percent of each of two items: above the limit only together
+    own = [(k, " ".join(f"i{k}_{j}" for j in range(40)), None) for k in (1, 2)]
+    both = " ".join(own[0][1].split()[:22]) + " z" * 156 + " " + " ".join(own[1][1].split()[:22])
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, both)], "doc_id long, text string"))
+    items = items.limit(25).select("item_id", "question", "reference_answer").unionByName(spark.createDataFrame([(-k, q, a) for k, q, a in own], "item_id long, question string, reference_answer string"))
+    one, many = ({tuple(map(str, x)) for x in leak_verdicts(docs, items, block=b).collect()} for b in (1_000_000, 120))
+    assert one == many and any(x[0] == "-1" and x[-1] == "True" for x in one)
+
+
+def test_passages_and_what_is_cut(spark):
+    item = [f"t{k}" for k in range(60)]
+    a, b = " ".join(item[:18]), " ".join(item[30:50])
+    clean = " ".join(f"c{k}" for k in range(500))
+    docs = [(1, f"Head {a}, {clean} {b}!"), (2, clean), (3, None), (4, " ".join(item)), (5, f"É “{a.upper()}” ﬁn {clean}"), (6, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item), "")], "item_id long, question string, reference_answer string")
+    got = {x.doc_id: x.spans for x in leaked_items(df, items).collect()}
+    assert got[1] == [(1, 19), (519, 539)] and set(got) == {1, 4, 5}
+    left = {x.doc_id: x.text for x in cut_leaks(df, items).collect()}
+    assert left == {1: f"Head , {clean} !", 2: clean, 3: None, 5: f"É “” ﬁn {clean}", 6: ""}
