@@ -1,13 +1,15 @@
 """Issue bodies that hold no report: unfilled forms, filler, error pages, script notices.
 
-A body is read as segments (lines without markup and field labels). Rules give
-trusted labels: residue of a kind, or report where a segment names code. What
-the rules don't know is linked to labelled segments by near-duplicates: SimHash
-tables over permuted bit blocks find candidates, the Hamming distance and the
-similarity of the texts verify them, and residue labels spread through the
-connected components. SimHash misses many pairs of that similarity; a join on
-prefixes of the shingle sets finds all of them. A body is residue if all its
-segments are.
+A body is read as segments (lines without markup and field labels; of a line
+that trusted rules know in part, its other sentences). Rules give trusted
+labels: residue of a kind, or report where a segment names code. What the rules
+don't know gets its label by propagation. A text that several issues hold, and
+never without a trusted error or notice beside it and never in a report, is a
+part of such pages. Segments are linked by near-duplicates: SimHash tables over
+permuted bit blocks find candidates, the Hamming distance and the similarity of
+the texts verify them, and residue labels spread through the connected
+components. SimHash misses many pairs of that similarity; a join on prefixes of
+the shingle sets finds all of them. A body is residue if all its segments are.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ KINDS = ("placeholder", "filler", "error", "notice", "extra")
 BLOCKS, KEYED, MAX_BITS = 6, 3, 3
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
-#: Characters from which a segment that names code is a report without a closer look.
-LONG_SEGMENT = 160
+#: Issues that must hold an unknown text, each beside trusted page residue, for it to be part of the page.
+COMPANY = 2
 #: Segments of one table key that meet in one task.
 BUCKET_ROWS = 256
 
-_COMMENT = re.compile(r"<!--(?:(?!<!--).){0,400}?-->", re.S)  # a broken one must not swallow a report
+#: A comment closes in its own line or at the end of a later one: an arrow in the text must not let a broken one swallow a report.
+_COMMENT = re.compile(r"<!--(?:(?:(?!<!--)[^\n])*?-->|(?:(?!<!--|-->[^\n]*\S[^\n]*$).)*?-->(?=[^\S\n]*$))", re.S | re.M)
 _DROPPED = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(
     r"</?(?:!doctype|html|head|title|meta|link|body|div|span|p|br|hr|h[1-6]|a|b|i|u|em|strong|center|address|table|tbody|thead|tr|td|th|"
@@ -85,11 +88,11 @@ _DUMMY = frozenset("foo bar baz qux quux foobar asdf asdfg asdfgh asdfasdf qwer
 _STATUS = r"(?:error\s*(?:code)?\s*:?\s*)?(?:4\d\d|5\d\d)"
 _ERROR = re.compile(
     rf"""^{_STATUS}?[\s:|,.–—-]*(?:bad\s+(?:gateway|request)|not\s+found|page\s+not\s+found|file\s+not\s+found|forbidden|unauthori[sz]ed|access\s+denied|(?:internal\s+)?server\s+error|internal\s+error
-      |(?:the\s+)?(?:service|server|site|page|website)(?:\s+is)?\s+(?:temporarily\s+)?(?:unavailable|overloaded|down)|temporarily\s+unavailable|service\s+temporarily\s+unavailable|gateway\s+time-?\s?out|request\s+time-?\s?out|too\s+many\s+requests
+      |(?:the\s+)?(?:service|server|site|page|website)(?:\s+is)?\s+(?:temporarily\s+)?(?:unavailable|overloaded|down)|temporarily\s+unavailable|service\s+temporarily\s+unavailable|gateway\s+time-?\s?out|(?:\w+\s+)?request\s+time-?\s?out|too\s+many\s+requests
       |method\s+not\s+allowed|gone|moved\s+permanently|request\s+entity\s+too\s+large|application\s+error|error)\b[\s.!]*$
     |^{_STATUS}[\s.]*$|^error\s*(?:code)?\s*[:#]?\s*\d*[\s.]*$|page\s+(?:that\s+)?(?:you\s+(?:are|were)\s+(?:looking\s+for|trying\s+to)|you\s+requested)|(?:could|can)\s*(?:not|n't)\s+be\s+(?:found|reached|displayed|loaded|served)[\s.!]*$
-    |requested\s+(?:url|page|resource)\b.*\b(?:not\s+found|could\s+not)|(?:go|return|back)\s+(?:back\s+)?to\s+(?:the\s+)?(?:start|home|main|previous)\s*page|page\s+(?:does\s+not|doesn't|no\s+longer)\s+exist
-    |^(?:please\s+)?(?:try|reload|refresh)\b.{{0,40}}\b(?:again|later|page|minutes?|seconds?|moment)\b.{{0,25}}$|something\s+went\s+wrong|^(?:whoops|oops)\b|upstream\s+(?:request|connect|server)|did\s+not\s+receive\s+a\s+timely\s+response|invalid\s+response\s+from
+    |requested\s+(?:url|page|resource)\b.*\b(?:not\s+found|could\s+not)|page\s+(?:does\s+not|doesn't|no\s+longer)\s+exist
+    |^(?:please\s+)?(?:try|reload|refresh)\b.{{0,40}}\b(?:again|later|page|minutes?|seconds?|moment)\b.{{0,25}}$|something\s+went\s+wrong|^(?:whoops|oops)\b
     |session\s+(?:has\s+)?(?:expired|timed\s+out)|^(?:please\s+)?(?:sign|log)\s*in\s+(?:again\b|to\s+(?:continue|view))|unexpected\s+error\s+(?:has\s+)?occurred|an?\s+(?:internal\s+)?error\s+(?:has\s+)?occurred|^we(?:'re|\s+are)\s+sorry\b|rate\s+limit\s+exceeded
     |currently\s+(?:undergoing|down\s+for)\s+maintenance|down\s+for\s+maintenance|under\s+maintenance|request\s+was\s+(?:blocked|denied|rejected|cancell?ed)|error\s+establishing\s+a\b.*\bconnection|^access\s+(?:to\s+this\s+(?:page|site)\s+)?(?:is\s+|has\s+been\s+)?denied|no\s+healthy\s+upstream|connection\s+(?:refused|reset|timed\s+out)[\s.]*$|^you\s+(?:do\s+not|don't)\s+have\s+permission\b|don't\s+have\s+permission\s+to\s+access
     |系统(?:繁忙|错误|维护)|稍后(?:再试|重试)|错误代码|访问的?页面(?:不存在|已)|页面(?:不存在|未找到|已被删除|找不到|出错)|无法(?:访问|显示)(?:此|该|本)?(?:页面|网站)|服务器(?:错误|内部错误|繁忙|开小差)|请求(?:超时|过于频繁)|登录(?:已)?(?:过期|失效|超时)|网关(?:超时|错误)|服务(?:暂时)?不可用
@@ -99,8 +102,8 @@ _ERROR = re.compile(
 _NOTICE = re.compile(
     r"""(?:enable|activate|turn\s+on|allow|need|requires?|without|disabled|does\s+not\s+(?:run|support)|doesn't\s+(?:run|support)|switch\s+on)\b.{0,50}\b(?:java\s*-?scripts?|scripts?|scripting|cookies?)\b
     |\b(?:java\s*-?scripts?|scripts?|cookies?)\b.{0,40}\b(?:is|are|must\s+be|to\s+be|has\s+to\s+be|appears?)\b.{0,20}\b(?:disabled|enabled|required|blocked|off|needed|activated)|checking\s+(?:your|the|if\s+the)\s+(?:browser|connection|site)|(?:java\s*)?scripts?\s+execution|verify(?:ing)?\s+(?:that\s+)?you\s+are\s+(?:a\s+)?human
-    |^(?:this\s+)?(?:takes?|may\s+take)\s+(?:up\s+to\s+|about\s+)?(?:a\s+few|\d+)\s+seconds|turn\s+(?:them|it)\s+on\s+and\s+reload|some\s+parts\s+of\s+this\s+page|ddos\s+protection|browser\s+(?:is\s+)?(?:not|no\s+longer)\s+(?:be\s+)?supported|unsupported\s+browser|outdated\s+browser
-    |just\s+a\s+moment|you\s+(?:will|are\s+being)\s+(?:be\s+)?redirected|complete\s+the\s+(?:security\s+check|captcha)|the\s+tracker\s+cannot\s+be\s+shown|cannot\s+be\s+shown
+    |ddos\s+protection|browser\s+(?:is\s+)?(?:not|no\s+longer)\s+(?:be\s+)?supported|unsupported\s+browser|outdated\s+browser
+    |just\s+a\s+moment|you\s+(?:will|are\s+being)\s+(?:be\s+)?redirected|complete\s+the\s+(?:security\s+check|captcha)
     |(?:启用|开启|打开|需要|支持|禁用|关闭|允许).{0,8}(?:java\s*script|脚本|cookies?)|(?:java\s*script|脚本|cookies?).{0,8}(?:被禁用|已禁用|未启用|才能)|正在检查您?的?浏览器|浏览器.{0,6}(?:不支持|检查)|aktivieren\s+sie\b.{0,20}(?:java\s*script|cookies)
     |(?:java\s*script|cookies)\b.{0,30}(?:aktivier|deaktiviert|erforderlich)|activer?\s+java\s*script|active\s+java\s*script|habilit\w+\s+java\s*script|javascriptを有効""",
     re.I | re.X,
@@ -161,6 +164,11 @@ def _sentence(p: str) -> str:
     return "extra" if _EXTRA.search(core) else ""
 
 
+def _parts(text: str) -> list[str]:
+    """The sentences of a segment."""
+    return [p for p in re.split(r"(?<=[.!?])\s+|(?<=[。！？])", text) if p.strip()]
+
+
 def _residue(text: str) -> str:
     """The residue kind of a segment that consists of residue only, or ''."""
     rest = _PLACEHOLDER.sub(" ", text) if _HELD_BY.search(text) else text
@@ -168,9 +176,13 @@ def _residue(text: str) -> str:
         left = re.sub(r"[^\W\d][\w ()/-]{0,30}\s*[:：=]", " ", rest)
         if not _ALNUM.search(left) or _residue(left.strip()) in ("placeholder", "filler", "blank"):
             return "placeholder"
-    kinds = [_sentence(p) for p in re.split(r"(?<=[.!?])\s+|(?<=[。！？])", text) if p.strip()]
-    kinds = [k for k in kinds if k != "blank"] if any(k not in ("", "blank") for k in kinds) else kinds
-    if not kinds or not all(kinds):
+    kinds = []
+    for p in _parts(text):
+        kinds.append(_sentence(p))
+        if not kinds[-1]:
+            return ""
+    kinds = [k for k in kinds if k != "blank"] if any(k != "blank" for k in kinds) else kinds
+    if not kinds:
         return ""
     if set(kinds) == {"blank"}:
         return "placeholder" if re.search(r"\.{2,}|…|_{3,}", text) else ""
@@ -181,8 +193,6 @@ def _kind(text: str, heading: bool) -> str:
     """'', a residue kind, 'label', 'report' or 'unknown' of one stripped segment."""
     if not text or not _ALNUM.search(text) and not re.search(r"\.{2,}|…|\?{3,}|_{4,}", text):
         return ""
-    if len(text) > LONG_SEGMENT and _names_code(text) and not _has_placeholder(text):
-        return "report"
     kind = _residue(text)
     if kind:
         return kind
@@ -227,9 +237,13 @@ def segments(body: str) -> list[tuple[str, str]]:
         cells = [c.strip() for c in stripped.strip("|").split("|")] if stripped.startswith("|") else [stripped]
         for cell in cells:
             plain = re.sub(r"\*\*|~~|(?<!\w)[*_](?=\w)|(?<=\w)[*_](?!\w)", "", cell) if not _has_placeholder(cell) else cell.replace("**", "")
-            kind = _kind(plain.strip(), heading)
-            if kind:
-                out.append((plain.strip(), kind))
+            plain = plain.strip()
+            kind = _kind(plain, heading)
+            said = [(p, _sentence(p)) for p in _parts(plain)] if kind == "unknown" else []
+            if len(said) > 1 and any(k in ("error", "notice") for _, k in said):
+                out += [(p, k or "unknown") for p, k in said if k != "blank"]
+            elif kind:
+                out.append((plain, kind))
     return out
 
 
@@ -256,24 +270,21 @@ def _word_shingles(text: str) -> set[tuple[str, ...]]:
 
 def _read(batches):
     for b in batches:
-        ids, report, residue, seeds, kinds, unknown = [], [], [], [], [], []
+        ids, report, page, residue, seeds, unknown = [], [], [], [], [], []
         for i, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             seg = segments(body)
             ids.append(i)
             found = [k for _, k in seg]
-            page = "error" in found or "notice" in found
-            report.append("report" in found or ("extra" in found and not page))
+            page.append("error" in found or "notice" in found)
+            report.append("report" in found or ("extra" in found and not page[-1]))
             # a form of labels alone is unfilled as well
             residue.append(any(k in ("placeholder", "filler", "error", "notice") for k in found) or bool(found) and set(found) == {"label"})
-            known = {(skeleton(t), k) for t, k in seg if k in KINDS and k != "extra"}
-            known = sorted((t, k) for t, k in known if t)
-            seeds.append([t for t, _ in known])
-            kinds.append([k for _, k in known])
+            seeds.append(sorted({skeleton(t) for t, k in seg if k in KINDS and k != "extra"} - {""}))
             unknown.append(sorted({skeleton(t) for t, k in seg if k == "unknown"}))
         text = pa.list_(pa.string())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(report), pa.array(residue), pa.array(seeds, text), pa.array(kinds, text), pa.array(unknown, text)],
-            ["id", "report", "residue", "seeds", "kinds", "unknown"],
+            [pa.array(ids), pa.array(report), pa.array(page), pa.array(residue), pa.array(seeds, text), pa.array(unknown, text)],
+            ["id", "report", "page", "residue", "seeds", "unknown"],
         )
 
 
@@ -381,28 +392,49 @@ def spread_labels(links: DataFrame, seeds: DataFrame) -> DataFrame:
     return reached
 
 
-def residue_bodies(issues: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
-    """(id) of the issues whose body holds nothing but residue.
+def page_parts(read: DataFrame) -> DataFrame:
+    """(text) of the unknown texts that belong to error pages and notices, by the company they keep.
+
+    At least ``COMPANY`` issues hold such a text, all of them beside a trusted
+    error or notice and none in a report.
+    """
+    each = read.select("id", F.explode("unknown").alias("text"), (F.col("page") & ~F.col("report")).alias("inside")).where("text <> ''")
+    per = each.groupBy("text", "id").agg(F.min("inside").alias("inside"))
+    return per.groupBy("text").agg(F.count("*").alias("n"), F.min("inside").alias("inside")).where(F.col("inside") & (F.col("n") >= COMPANY)).select("text")
 
-    Null and blank bodies are no residue. An id that occurs with several bodies
-    is residue if any of them is. Rows with a null id are left out.
+
+def residue_found(issues: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
+    """(id, by) of the issues whose body holds nothing but residue.
+
+    ``by`` tells whether trusted rules know all of it ('rules') or some of it
+    got its label by propagation ('propagation'). Null and blank bodies are no
+    residue. An id that occurs with several bodies is residue if any of them
+    is. Rows with a null id are left out.
     """
     read = materialize(
         issues.where(F.col(id_col).isNotNull() & F.col(body_col).isNotNull())
         .select(F.col(id_col).cast("string").alias("id"), F.col(body_col))
-        .mapInArrow(_read, "id string, report boolean, residue boolean, seeds array<string>, kinds array<string>, unknown array<string>")
+        .mapInArrow(_read, "id string, report boolean, page boolean, residue boolean, seeds array<string>, unknown array<string>")
     )
+    parts = page_parts(read).withColumn("seed", F.lit(True))
     known = read.select(F.explode("seeds").alias("text"), F.lit(True).alias("seed"))
+    # a text without letters can't be compared; its body is no residue
     open_ = read.select(F.explode("unknown").alias("text"), F.lit(False).alias("seed"))
-    nodes = known.unionByName(open_).where(F.col("text") != "").groupBy("text").agg(F.max("seed").alias("seed"))
+    nodes = known.unionByName(open_).unionByName(parts).where(F.col("text") != "").groupBy("text").agg(F.max("seed").alias("seed"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     links = similar_segments(nodes).unionByName(similar_shingles(nodes))
     reached = spread_labels(links, nodes.where("seed"))
-    spread = materialize(nodes.where("NOT seed").join(reached, "node").select(F.col("text").alias("u")))
+    spread = materialize(nodes.where("NOT seed").join(reached, "node").select("text").unionByName(parts.select("text")).distinct().withColumnRenamed("text", "u"))
 
     clear = read.where(~F.col("report"))
-    sure = clear.where(F.col("residue") & (F.size("unknown") == 0)).select("id")
+    sure = clear.where(F.col("residue") & (F.size("unknown") == 0)).select("id", F.lit("rules").alias("by"))
     asked = clear.where(F.size("unknown") > 0).select("id", "unknown", F.xxhash64("id", F.array_join("unknown", "\n")).alias("row"))
     each = asked.select("id", "row", F.size("unknown").alias("n"), F.explode("unknown").alias("u")).distinct()
     hits = join_on_keys(each, spread, ["u"], "row").groupBy("id", "row", "n").agg(F.count("*").alias("k"))
-    return sure.unionByName(hits.where(F.col("k") == F.col("n")).select("id")).distinct()
+    carried = hits.where(F.col("k") == F.col("n")).select("id", F.lit("propagation").alias("by"))
+    return sure.unionByName(carried).groupBy("id").agg(F.max("by").alias("by"))
+
+
+def residue_bodies(issues: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
+    """(id) of the issues whose body holds nothing but residue."""
+    return residue_found(issues, id_col, body_col).select("id")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import codequarry.llm.residue as residue
-from codequarry.llm.residue import MAX_BITS, residue_bodies, segments, similar_segments, simhash, skeleton, spread_labels
+from codequarry.llm.residue import MAX_BITS, residue_bodies, residue_found, segments, similar_segments, simhash, skeleton, spread_labels
 
 RESIDUE = [
     "Version: __version__\n\n**OS**: __OS__", "**version**: {% include version %} {% include steps %}", "{{ title }}", "<version>\n\n**steps**: <steps>",
@@ -25,11 +25,12 @@ REPORTS = [
 
 
 def test_read_bodies(spark):
-    rows = [(f"r{k}", b, "x") for k, b in enumerate(RESIDUE)] + [(f"k{k}", b, "x") for k, b in enumerate(REPORTS)]
+    # what a page says beside its trusted line is known only if several issues hold it
+    rows = [(f"{i}{k}", b, "x") for k, b in enumerate(RESIDUE) for i in "rs"] + [(f"k{k}", b, "x") for k, b in enumerate(REPORTS)]
     rows += [("n", None, "x"), ("e", "", "x"), ("b", " \n\t", "x"), (None, RESIDUE[0], "x"), ("r0", RESIDUE[0], "y"), ("long", "the slot leaks again. " * 5000, "x")]
     df = spark.createDataFrame(rows, "id string, body string, unknown string").repartition(3)
     got = sorted(x.id for x in residue_bodies(df).collect())
-    assert got == sorted(f"r{k}" for k in range(len(RESIDUE)))
+    assert got == sorted(f"{i}{k}" for k in range(len(RESIDUE)) for i in "rs")
     assert residue_bodies(df.limit(0)).collect() == []
 
 
@@ -118,3 +119,25 @@ def test_light_edits_of_a_notice_get_its_label(spark):
     assert far and {k for _, k in segments(far[0])} == {"unknown"}
     df = spark.createDataFrame([("a", seed), ("b", far[0])], "id string, body string")
     assert sorted(x.id for x in residue_bodies(df).collect()) == ["a", "b"]
+
+
+def test_only_company_shows_the_rest_of_a_page(spark):
+    page = "502 Bad Gateway\nThe upstream of this host sleeps; wake it up and come back."
+    one = "JavaScript is disabled in your browser. The gadgets of this board stay dark."
+    both = "404 Not Found\nI saw it twice today"
+    rows = [("a", page), ("b", page.replace("host", "HOST")), ("c", one), ("d", one), ("e", both), ("f", both), ("g", "I saw it twice today"), ("h", "500 Internal Server Error\nonly once")]
+    # a light edit of a text that is known by its company follows it along the near-duplicates
+    tail = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows += [("i", f"Gateway Time-out\n{tail}"), ("j", f"Gateway Time-out\n{tail}"), ("k", f"Gateway Time-out\n{tail} end")]
+    df = spark.createDataFrame(rows, "id string, body string")
+    assert {x.id: x.by for x in residue_found(df).collect()} == dict.fromkeys("abcdijk", "propagation")
+
+
+def test_long_segments_and_comments_are_read_whole():
+    filler = "Lorem ipsum dolor sit amet 1.2 " * 8
+    assert {k for _, k in segments(filler.strip())} == {"filler"}
+    hint = "<!-- " + "Tell us what happened -> and what you expected instead. " * 20
+    assert [k for _, k in segments(hint + "-->")] == ["placeholder"]
+    assert [k for _, k in segments(hint + "\n\nMore hints\n-->\n## Logs")] == ["placeholder", "label"]
+    broken = segments("<!-- paste logs here\nThe pool forgets a row\n\nroute a --> b fails\n\nIt hangs. <!-- x -->")
+    assert [k for _, k in broken].count("unknown") >= 2
