@@ -41,6 +41,8 @@ BUCKET_ROWS = 256
 
 #: A comment closes in its own line or at the end of a later one: an arrow in the text must not let a broken one swallow a report.
 _COMMENT = re.compile(r"<!--(?:(?:(?!<!--)[^\n])*?-->|(?:(?!<!--|-->[^\n]*\S[^\n]*$).)*?-->(?=[^\S\n]*$))", re.S | re.M)
+#: Names of a report's code. A comment of several paragraphs that holds one was never closed where it should be.
+_REPORTED = re.compile(r"\w\(\)|(?<!\w)[a-z0-9]+_[a-z0-9_]|[\w-]/[\w./-]+\.\w|\b[A-Z][a-z]+[A-Z]\w")
 _DROPPED = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(
     r"</?(?:!doctype|html|head|title|meta|link|body|div|span|p|br|hr|h[1-6]|a|b|i|u|em|strong|center|address|table|tbody|thead|tr|td|th|"
@@ -208,11 +210,15 @@ def _kind(text: str, heading: bool) -> str:
     return "report" if _names_code(text) else "unknown"
 
 
+def _broken(comment: str) -> bool:
+    return bool(re.search(r"\n[^\S\n]*\n", comment) and _REPORTED.search(comment))
+
+
 def segments(body: str) -> list[tuple[str, str]]:
     """(text, kind) of every segment of a body that says anything."""
     out: list[tuple[str, str]] = []
-    hints = _COMMENT.findall(body)
-    text = _DROPPED.sub("\n", _COMMENT.sub("\n", body))
+    hints = [m.group() for m in _COMMENT.finditer(body) if not _broken(m.group())] if "<!--" in body else []
+    text = _DROPPED.sub("\n", _COMMENT.sub(lambda m: m.group() if _broken(m.group()) else "\n", body) if hints else body)
     if re.search(r"</|<!doctype|<br|<hr", text, re.I):  # else such names in brackets are placeholders
         text = _TAG.sub("\n", text)
     if hints:

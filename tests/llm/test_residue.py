@@ -141,3 +141,5 @@ def test_long_segments_and_comments_are_read_whole():
     assert [k for _, k in segments(hint + "\n\nMore hints\n-->\n## Logs")] == ["placeholder", "label"]
     broken = segments("<!-- paste logs here\nThe pool forgets a row\n\nroute a --> b fails\n\nIt hangs. <!-- x -->")
     assert [k for _, k in broken].count("unknown") >= 2
+    swallowed = segments("<!-- Describe it\nThe debugger stops in store_tree() at src/a.cc\n\nA colleague gets it too paste logs here -->")
+    assert "report" in [k for _, k in swallowed]
