@@ -1,6 +1,6 @@
 import pytest
 
-from codequarry.llm.pairs import DEFECTS, FUNCTIONS, defective_pairs, fit, language, pair_posteriors, votes, wanted_language
+from codequarry.llm.pairs import CUTOFF, DEFECTS, FUNCTIONS, defective_pairs, fit, language, pair_posteriors, votes, wanted_language
 
 Q = "Which callers of `pack_tick` rely on its return value being 3?"
 SOUND = [
@@ -58,9 +58,11 @@ def test_empty_table_and_null_ids(spark):
 
 def test_model_weighs_functions_by_their_agreement():
     names = FUNCTIONS["refusal"]
-    post = fit(["111", "110", "000", "100", "---"], [40, 5, 900, 6, 50], names)
-    assert post["111"] > 0.9 > post["100"] and post["000"] < 0.01 and post["---"] < 0.2
-    assert len(votes(Q, "Yes.")) == sum(len(FUNCTIONS[d]) for d in DEFECTS)
+    rows = {"100111": 40, "010111": 15, "0011-1": 9, "100011": 6, "000000": 900, "1000-0": 6, "0000--": 900, "00001-": 80}
+    post = fit(list(rows), list(rows.values()), names)
+    assert min(post["100111"], post["010111"], post["100011"]) > 0.9 > 0.1 > max(post["1000-0"], post["00001-"]) and post["000000"] < 0.01
+    # no single function tells these apart
+    assert votes(Q, "Yes.")[1] is None and len(votes(Q, "Yes.")[0]) == sum(len(FUNCTIONS[d]) for d in DEFECTS)
 
 
 @pytest.mark.parametrize("text, lang", [("Yes.", "en"), ("Ja.", "de"), ("`x_y`", None), ("不会。", "zh"), ("なぜRouteはロックを取らない", "ja"), ("", None)])
@@ -72,3 +74,57 @@ def test_wanted_language():
     assert wanted_language("为什么？请用英文回答。") == "en"
     assert wanted_language(Q + " Please answer in Chinese.") == "zh"
     assert wanted_language("Warum ruft X zuerst a_b auf?") == "de"
+
+
+#: Sound answers to different questions, among which refusals are rare.
+PLAIN = [(f"Does `f_{k}` rely on row {k}?", f"{w} of f_{k} {v} the row, and nothing else does.") for k, (w, v) in enumerate((a, b) for a in ("The caller", "One caller", "The planner", "A reader", "The loader", "Each reader") for b in ("frees", "keeps", "copies", "locks", "drops", "sorts", "merges", "checks"))]
+
+
+def test_curly_apostrophes_and_missing_phrases(spark):
+    asked = [f"Who frees row {k} of `a_{k}`?" for k in range(40)]
+    said = [(q, "I’m sorry, but I can’t answer that.") for q in asked[:4]] + [(q, "I don’t have access to the repository.") for q in asked[4:8]]
+    # the second sentence is in no list, so only the posterior of an answer that many questions got shows the refusal
+    odd = [(q, f"Could you share the code of `a_{k + 8}`? Without it the trail ends here for us.") for k, q in enumerate(asked[8:14])]
+    sound = [(asked[14], "Could you share the pool? Yes: a_14() hands it on to b_14() and the reader frees it."), *PLAIN * 8]
+    pairs = said + odd + sound
+    df = spark.createDataFrame([(k, q, a) for k, (q, a) in enumerate(pairs)], "result_id long, question string, answer string")
+    got = {x.result_id: x.defect for x in defective_pairs(df).collect()}
+    assert got == dict.fromkeys(range(len(said) + len(odd)), "refusal")
+    at = [f for d in DEFECTS for f in FUNCTIONS[d]].index("every_sentence")
+    by = {x.result_id: x.votes for x in pair_posteriors(df).collect()}
+    assert {by[k][at] for k in range(len(said), len(said) + len(odd))} == {"0"}
+
+
+def test_several_labels(spark):
+    pairs = [(Q, "Tut mir leid, dazu darf ich nichts sagen."), (Q, "Leider kann ich diese Frage nicht beantworten, weil die"), ("Warum hält x_y() die Sperre?", "I'm sorry, but I can't help with that request.")]
+    pairs += [p for p in rows_of() if p not in pairs] + PLAIN * 4
+    df = spark.createDataFrame([(k, q, a) for k, (q, a) in enumerate(pairs)], "result_id long, question string, answer string")
+    got = {}
+    for x in defective_pairs(df, every_label=True).collect():
+        got.setdefault(x.result_id, set()).add(x.defect)
+    assert got[0] == {"refusal", "language"} and got[1] == {"refusal", "language", "truncated"} and got[2] == {"refusal", "language"}
+
+
+def rows_of():
+    return [(q, a) for q, a in SOUND] * 3 + [(q, a) for _, q, a in DEFECTIVE]
+
+
+def test_cutoff_on_planted_defects(spark):
+    """Defects planted into answers that show none: of each kind nearly all are found, and hardly a sound one is called defective."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/qa_results.parquet").where("result_id IS NOT NULL").dropDuplicates(["result_id"]).orderBy("result_id").collect()
+    bad = {x.result_id for x in defective_pairs(spark.read.parquet("/root/testdata/sf0.01/qa_results.parquet")).collect()}
+    good = [(x.question, x.answer) for x in rows if x.result_id not in bad and x.question and len(x.answer or "") > 120]
+    assert len(good) > 200
+    plant = {"empty": lambda q, a: " \u200b\n", "copy": lambda q, a: q.upper(), "refusal": lambda q, a: "I am unable to answer this.", "truncated": lambda q, a: a[: len(a) // 2].rsplit(None, 1)[0] + " the", "language": lambda q, a: "Der Puffer wird nicht von dem Leser gehalten, weil er nur für die Sperre ist."}
+    out, truth = [], {}
+    for k, (q, a) in enumerate(good):
+        kind = [*DEFECTS, *[None] * 15][k % 20]
+        if kind == "language" and wanted_language(q) in (None, "de") or kind == "truncated" and any(m in a for m in '`"“|') or kind == "refusal" and wanted_language(q) != "en":
+            kind = None
+        out.append((k, q, plant[kind](q, a) if kind else a))
+        truth[k] = kind
+    post = pair_posteriors(spark.createDataFrame(out, "result_id long, question string, answer string")).collect()
+    for d in DEFECTS:
+        planted = [x[d] for x in post if truth[x.result_id] == d]
+        clean = [x[d] for x in post if truth[x.result_id] is None]
+        assert planted and sum(p > CUTOFF for p in planted) >= 0.95 * len(planted) and sum(p > CUTOFF for p in clean) <= 0.01 * len(clean), d
