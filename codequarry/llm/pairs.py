@@ -244,7 +244,8 @@ def _dangling(body: str) -> bool:
 
 
 _SCRIPT_OF = {"en": "latin", "de": "latin", "fr": "latin", "es": "latin"}
-_STOPS = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
+#: Where the language may change: after a sentence, but not after a short word that may be an abbreviation.
+_STOPS = re.compile(r"(?:(?<=[^\W\d_]{4}\.)|(?<=[!?…]))[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
 _PLACE = re.compile(r"^\|.*\|\s*$|^\s*[-*+]\s+`?[\w./\\]+:\d+", re.M)
 
 
