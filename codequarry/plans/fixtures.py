@@ -36,10 +36,9 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    rf = F.col("retrieved_functions")
-    steps = table(spark, d, "qa_results").select(
-        F.explode(F.arrays_zip(F.transform(rf, lambda x: x["name"]).alias("src"), F.slice(F.transform(rf, lambda x: x["name"]), 2, 1000).alias("dst"))).alias("e")
-    )
+    names = F.transform("retrieved_functions", lambda x: x["name"])
+    later = F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0)))
+    steps = table(spark, d, "qa_results").where("retrieved_functions IS NOT NULL").select(F.explode(F.arrays_zip(names.alias("src"), later.alias("dst"))).alias("e"))
     return steps.select("e.src", "e.dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
 
 

@@ -299,3 +299,49 @@ def test_grep_functions_take_the_longer_code(spark):
         "c.cc": ("go", "go( throw 3 and a longer line than the code"), "d.cc": ("unknown", "y" * 800),
     }
     assert retrieval.grep_functions(hits, bodies.limit(0)).where("file_path = 'a.cc'").first().text == "run(throw 1)\n  x();"
+
+
+def body_lines(spark, *bodies):
+    return spark.createDataFrame([(k, j + 1, x) for k, b in enumerate(bodies) for j, x in enumerate(b)], "rf_id long, line_no int, text string")
+
+
+def test_control_flow_of_whole_bodies(spark):
+    body = [
+        "void bar() {", "    if (x > 0) return compute(a, b) + 1;", "    } else return y;", "    if (fits(a,", "            // the brackets of a ( comment don't count", "            b,", "            c) && cfg->mode) {",
+        "        return nullptr;", "    elsewhere(1);", "    return compute(a, b);", "    return plain;", '    return "text";', "    return;", '    if (text == "(") {', "    catch (E & e) {", "    if (data.size < 3) throw std::bad_alloc();",
+        "    switch (pool->count != 0) {", "    case A::B: return false;", "    } try {", "    if (std::isnan(x)) {",
+    ]
+    want = [
+        (2, "if", "x > 0) return compute(a, b) + 1;", False, False, "parameter_check"), (3, "else", "", False, False, ""),
+        (4, "if", "fits(a,  b, c) && cfg->mode", True, False, "error_guard"), (8, "return", "nullptr", False, True, ""), (10, "return", "compute(a, b)", False, False, ""),
+        (14, "if", 'text == "("', False, False, "error_guard"), (15, "catch", "E & e", False, False, ""), (16, "if", "data.size < 3) throw std::bad_alloc();", False, False, "error_guard"),
+        (16, "return", "", False, True, ""), (17, "switch", "pool->count != 0", False, False, "parameter_check"), (18, "case", "A", False, False, ""), (18, "return", "false", False, True, ""),
+        (19, "try", "", False, False, ""), (20, "if", "std::isnan(x)", False, False, "parameter_check"),
+    ]
+    assert extract.read_statements(body) == want
+    assert [tuple(x)[1:] for x in extract.control_flow(body_lines(spark, body)).orderBy("line_no", "type").collect()] == want
+
+
+def test_control_flow_against_reading_line_by_line(spark):
+    r = random.Random(8)
+    parts = ["if (a", "if (f(x,", " && b)", ") {", "else if (ctx->p == nullptr) {", "return f(1);", "return nullptr;", "", "// if (", "} else {", "case 3:", "throw E(", '"(")', "y = g(", "switch (mode)", "catch (...) {", "return x;", "try"]
+    bodies = [[" ".join(r.choice(parts) for _ in range(r.choice([1, 1, 2]))) for _ in range(r.randrange(1, 14))] for _ in range(150)]
+    got = {}
+    for x in extract.control_flow(body_lines(spark, *bodies)).collect():
+        got.setdefault(x.rf_id, []).append(tuple(x)[1:])
+    for k, b in enumerate(bodies):
+        said = extract.read_statements(b)
+        # a line that is taken by a condition never opens one itself here
+        taken = [t for t in said if t[3]]
+        if not any(u[0] == t[0] + 1 for t in taken for u in said):
+            assert sorted(got.get(k, [])) == sorted(said), b
+
+
+def test_parameter_flow_in_full(spark):
+    body = ["static int run(const std::map<int, int> & cfg, void (*cb)(int, int), char * const name = f(1, 2), int) {", "    cfg.mode = 3;", "    log(name); // cfg.skip", "    cfg.grammar = make_a_rather_long_value_of_more(cfg);", "    return name;", "}"]
+    got = {x.param: (x.operations, x.lines) for x in extract.parameter_flow(body_lines(spark, body)).collect()}
+    assert got == {
+        "cfg": ("field_assign:grammar=make_a_rather_long_value_of_mo|field_assign:mode=3|field_read:grammar|field_read:mode|pass_to:make_a_rather_long_value_of_more", "2,4"),
+        "name": ("pass_to:log|return", "3,5"),
+    }
+    assert tuples(extract.parameters(body_lines(spark, ["int f(void) {"], ["int f(int a, std::vector<std::pair<int, int>> v, const Frame & frame) {"], ["int f(int a"], ["x"]))) == [(1, "a"), (1, "frame"), (1, "v")]
