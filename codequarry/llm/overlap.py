@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.text import TokenHasher, shingles, tokens
-from codequarry.session import materialize
+from codequarry.session import join_on_keys, materialize
 
 #: Counters of the frequency sketch by which shingles are ordered: a fixed size,
 #: whatever the corpus. It may only cost time where shingles share a counter.
@@ -162,6 +162,29 @@ def similar_classes(sets: DataFrame, threshold: Fraction) -> DataFrame:
     )
 
 
+def _classes(items: DataFrame, id_col: str, title_col: str, body_col: str, threshold: Fraction, width: int, min_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal shingle sets: (id, doc) of every item, and (a, b) of the classes that are similar."""
+    rows = materialize(
+        items.where(F.col(id_col).isNotNull())
+        .select(F.col(id_col).alias("id"), F.col(title_col), F.col(body_col))
+        .mapInArrow(_shingled(width, min_tokens), "id string, sig binary, grams array<long>")
+    )
+    sets = materialize(
+        rows.groupBy("sig").agg(F.first("grams").alias("grams")).withColumn("doc", F.monotonically_increasing_id())
+    )
+    member = rows.groupBy("id").agg(F.min("sig").alias("sig"))
+    member = materialize(member.join(sets.select("sig", "doc"), "sig").select("id", "doc"))
+    return member, similar_classes(sets, threshold)
+
+
+def _celled(member: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their cell (own, nb), and (doc, nb) of the classes that are cut into several."""
+    large = member.groupBy("doc").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_ROWS)
+    large = materialize(large.select("doc", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("nb")))
+    celled = join_on_keys(member, large, ["doc"], "id", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    return celled.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")), large
+
+
 def near_duplicate_pairs(
     items: DataFrame, id_col: str = "id", title_col: str = "title", body_col: str = "body",
     threshold: Fraction = Fraction(3, 5), width: int = 3, min_tokens: int = 80,
@@ -172,24 +195,67 @@ def near_duplicate_pairs(
     tokens and rows with a null id are left out. A repeated id counts once; if
     its rows differ, the smallest shingle signature stands for it. Items with
     the same shingle set are one class during the search, so a group of copies
-    costs nothing but its own result rows.
+    costs nothing but its own result rows. A class of more than ``BLOCK_ROWS``
+    items is written out in cells, so no task holds all of its pairs.
     """
-    rows = materialize(
-        items.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.col(title_col), F.col(body_col))
-        .mapInArrow(_shingled(width, min_tokens), "id string, sig binary, grams array<long>")
-    )
-    sets = materialize(
-        rows.groupBy("sig").agg(F.first("grams").alias("grams")).withColumn("doc", F.monotonically_increasing_id())
-    )
-    member = rows.groupBy("id").agg(F.min("sig").alias("sig"))
-    member = materialize(member.join(sets.select("sig", "doc"), "sig").select("id", "doc"))
-    pairs = similar_classes(sets, threshold)
-    x = pairs.join(member.select(F.col("doc").alias("a"), F.col("id").alias("ia")), "a").join(
-        member.select(F.col("doc").alias("b"), F.col("id").alias("ib")), "b"
-    )
+    member, pairs = _classes(items, id_col, title_col, body_col, threshold, width, min_tokens)
+    celled, large = _celled(member)
+
+    def expanded(df: DataFrame, doc: str, out: str) -> DataFrame:
+        cells = join_on_keys(df, large.withColumnRenamed("doc", doc), [doc], "b" if doc == "a" else "ia", "left")
+        cells = cells.withColumn("own", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1))).drop("nb")
+        return cells.join(celled.select(F.col("doc").alias(doc), "own", F.col("id").alias(out)), [doc, "own"]).drop("own")
+
+    x = expanded(expanded(pairs, "a", "ia"), "b", "ib")
     between = x.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
     many = member.groupBy("doc").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("doc")
-    again = member.join(many, "doc", "left_semi")
-    within = again.select("doc", F.col("id").alias("id_a")).join(again.select("doc", F.col("id").alias("id_b")), "doc")
-    return between.unionByName(within.where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b"))
+    again = celled.join(many, "doc", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    again = again.select("doc", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    side = lambda k: again.select("doc", "lo", "hi", F.col("id").alias(f"id_{k}"), F.col("own").alias(f"own_{k}"))
+    within = side("a").join(side("b"), ["doc", "lo", "hi"])
+    within = within.where((F.col("id_a") < F.col("id_b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("lo") == F.col("hi"))))
+    return between.unionByName(within.select("id_a", "id_b"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of the component of every node of ``links`` (a long, b long).
+
+    Every round hands the smallest label among the neighbours on and then jumps
+    to the label's own label, until no label changes.
+    """
+    ends = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    label = materialize(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+    while True:
+        heard = ends.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
+        step = label.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
+        step = materialize(step)
+        jump = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = materialize(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")))
+        label = new.select("node", "root")
+        if not new.where("root <> was").take(1):
+            return label
+
+
+def near_duplicate_groups(
+    items: DataFrame, id_col: str = "id", title_col: str = "title", body_col: str = "body",
+    threshold: Fraction = Fraction(3, 5), width: int = 3, min_tokens: int = 80,
+) -> DataFrame:
+    """(id, group_id, n_links): one row per item that has near-duplicates.
+
+    Groups are the connected components of the links; ``group_id`` is the
+    smallest id of the group, ``n_links`` the number of items that are similar
+    to the item itself. Copies are never written out as pairs.
+    """
+    member, pairs = _classes(items, id_col, title_col, body_col, threshold, width, min_tokens)
+    size = materialize(member.groupBy("doc").agg(F.count("*").alias("m"), F.min("id").alias("least")))
+    # a class of which no item is left (its items had another set too) links none
+    for end in ("a", "b"):
+        pairs = pairs.join(size.select(F.col("doc").alias(end)), end, "left_semi")
+    pairs = materialize(pairs)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(size.select(F.col("doc").alias("b"), "m"), "b").groupBy(F.col("a").alias("doc")).agg(F.sum("m").alias("linked"))
+    classes = size.join(near, "doc", "left").join(components(pairs).withColumnRenamed("node", "doc"), "doc", "left")
+    classes = materialize(classes.select("doc", "least", F.coalesce("root", "doc").alias("root"), (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+    group = classes.groupBy("root").agg(F.min("least").alias("group_id"))
+    known = materialize(classes.where("n_links > 0").join(group, "root").select("doc", "group_id", "n_links"))
+    return join_on_keys(member, known, ["doc"], "id").select("id", "group_id", "n_links")

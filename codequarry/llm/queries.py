@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from codequarry.llm.encoding import encode_texts
 from codequarry.llm.leakage import leak_verdicts, leaked_items
-from codequarry.llm.overlap import near_duplicate_pairs
+from codequarry.llm.overlap import near_duplicate_groups, near_duplicate_pairs
 from codequarry.llm.pairs import defective_pairs
 from codequarry.llm.provenance import not_hand_written
 from codequarry.llm.residue import residue_bodies
@@ -33,6 +33,10 @@ def p6_found(spark, d):
     return near_duplicate_pairs(table(spark, d, "issues"))
 
 
+def p6_groups(spark, d):
+    return near_duplicate_groups(table(spark, d, "issues"))
+
+
 def p7_ids(spark, d):
     return encode_texts(table(spark, d, "documents"))
 
@@ -49,6 +53,6 @@ def p9_found(spark, d):
     return sentence_units(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_ids, p8_found, p8_verdicts, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p6_groups, p7_ids, p8_found, p8_verdicts, p9_found)}
 #: None of these is expressible in the SQL engine (NFKC, byte-pair merges, piece-by-piece state); see tests/llm.
 ORACLE: dict[str, str] = {}

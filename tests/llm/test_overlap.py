@@ -1,8 +1,10 @@
 import random
 from fractions import Fraction
 
+import pytest
+
 import codequarry.llm.overlap as overlap
-from codequarry.llm.overlap import near_duplicate_pairs
+from codequarry.llm.overlap import components, near_duplicate_groups, near_duplicate_pairs
 from codequarry.llm.text import tokens
 
 
@@ -59,3 +61,34 @@ def test_long_columns_are_cut_into_blocks_without_loss(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, title string, body string")
     assert near_duplicate_pairs(df).collect() == []
+
+
+@pytest.mark.parametrize("rows_a_block", [4, 512])
+def test_groups_against_the_pairs(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", rows_a_block)
+    rows = corpus(3) + [(f"many{k}", "t", corpus(3)[0][2]) for k in range(30)]
+    df = spark.createDataFrame(rows, "id string, title string, body string").repartition(3)
+    pairs = {tuple(x) for x in near_duplicate_pairs(df, min_tokens=10).collect()}
+    assert pairs == brute(rows, Fraction(3, 5), 3, 10)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for i in sorted(near):
+        if i not in want:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in want:
+                    want[x] = i
+                    todo += near[x]
+    got = near_duplicate_groups(df, min_tokens=10).collect()
+    assert {x.id: (x.group_id, x.n_links) for x in got} == {i: (g, len(near[i])) for i, g in want.items()} and len(got) == len(want)
+    assert near_duplicate_groups(df.limit(0)).collect() == []
+
+
+def test_components_of_long_chains(spark):
+    links = [(k, k + 1) for k in range(0, 120, 1) if k % 40 != 39] + [(500, 400), (400, 450), (7, 7)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert got == {k: k // 40 * 40 for k in range(120)} | {400: 400, 450: 400, 500: 400}
