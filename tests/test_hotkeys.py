@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from codequarry.operators.hotkeys import latest_by_id, median_and_top, per_name_fan_in
+from codequarry.operators.hotkeys import latest_by_id, latest_where_repeated, median_and_top, per_name_fan_in
 
 SCHEMA = "name string, fan_in int, id string"
 
@@ -51,3 +51,26 @@ def test_latest_state_wins_whatever_arrives_last(spark):
     assert [(x.id, x.fan_in) for x in got] == [("x", 9)]
     extra = df.withColumnRenamed("id", "id").selectExpr("*", "1 AS _key", "2 AS _v", "3 AS _n")
     assert [tuple(x) for x in per_name_fan_in(extra).collect()] == [("n", "x", "x")]
+
+
+def test_values_of_any_range_and_many_hot_keys(spark, monkeypatch):
+    import codequarry.session as session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 3)
+    r = random.Random(9)
+    far = [2**63 - 1, -(2**63), 0, -1, 1, 2**40, 2**40 + 1, -(2**40)]
+    rows = [(f"k{k % 9}", r.choice([r.randrange(-50, 9000), r.choice(far)]), f"id{k:04d}") for k in range(900)]
+    df = spark.createDataFrame(rows, "name string, fan_in long, id string").repartition(5)
+    assert {tuple(x) for x in median_and_top(df, "name", "fan_in", "id", 6).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_only_repeated_ids_are_compared(spark, monkeypatch, words):
+    import codequarry.operators.hotkeys as hotkeys
+
+    monkeypatch.setattr(hotkeys, "MAP_WORDS", words)
+    r = random.Random(4)
+    rows = [(r.choice([None, f"i{r.randrange(300)}"]), r.choice([None, 1, 2]), r.randrange(5)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "id string, v int, x int").repartition(4)
+    plain = sorted(map(str, latest_by_id(df, "id", ["v"], ["id", "v", "x"]).collect()))
+    assert sorted(map(str, latest_where_repeated(df, "id", ["v"], ["id", "v", "x"]).collect())) == plain
