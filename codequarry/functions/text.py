@@ -191,3 +191,9 @@ def gold_evidence(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(id_col, "e").orderBy("k")) - 1
     rows = rows.withColumn("n", n)
     return rows.select(id_col, F.when(F.col("n") == 0, F.col("e")).otherwise(F.concat("e", F.lit("_"), "n")).alias("evidence_id"), "file", "line_start", "line_end", "kind")
+
+
+def identifiers_first(words: Column) -> Column:
+    """Words in order, those with an underscore put in front one after the other, so the last of them leads."""
+    has = lambda w: w.contains("_")
+    return F.concat(F.reverse(F.filter(words, has)), F.filter(words, lambda w: ~has(w)))

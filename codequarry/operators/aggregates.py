@@ -87,3 +87,14 @@ def top_list(df: DataFrame, group: str, value: str, most: int, out: str) -> Data
     w = Window.partitionBy(group).orderBy(value)
     kept = d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     return kept.groupBy(group).agg(F.array_join(F.sort_array(F.collect_list(value)), "|").alias(out))
+
+
+def run_deltas(base: DataFrame, new: DataFrame) -> DataFrame:
+    """One row that compares two runs (ok boolean, latency_ms): shares of sound answers and the differences."""
+
+    def one(df: DataFrame, run: str) -> DataFrame:
+        return df.agg(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)).alias(f"{run}_ok"), F.avg("latency_ms").alias(f"{run}_ms"), F.count("*").alias(f"{run}_n"))
+
+    both = one(base, "base").crossJoin(one(new, "new"))  # one row each
+    delta = lambda c, k: F.round(F.col(f"new_{c}") - F.col(f"base_{c}"), k)
+    return both.select(F.round("base_ok", 6).alias("base_ok"), F.round("new_ok", 6).alias("new_ok"), delta("ok", 6).alias("ok_delta"), delta("ms", 4).alias("latency_delta"), (F.col("new_n") - F.col("base_n")).alias("count_delta"))

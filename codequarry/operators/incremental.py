@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.session import materialize
+
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """(key, change) added, deleted or changed between two snapshots with one row per key."""
@@ -84,3 +86,34 @@ def assemble(functions: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(edge(fn.where("parent_class IS NOT NULL"), "HAS_METHOD", F.concat("file_path", F.lit(":"), "parent_class"), F.col("id")))
     )
     return nodes, edges
+
+
+def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(change, file_path, old_path): added A, modified M, deleted D and renamed R files between two states (file_path, h).
+
+    A content that only one vanished and only one new path holds was renamed;
+    ``old_path`` is set for these alone.
+    """
+    both = old.select("file_path", F.col("h").alias("was")).join(new.select("file_path", F.col("h").alias("is")), "file_path", "full_outer")
+    both = materialize(both)
+    gone, come = both.where("`is` IS NULL"), both.where("was IS NULL")
+    single = lambda df, h, p: df.groupBy(F.col(h).alias("h")).agg(F.min("file_path").alias(p), F.count("*").alias("n")).where("n = 1").drop("n")
+    renamed = materialize(single(gone, "was", "old_path").join(single(come, "is", "file_path"), "h"))
+    none = F.lit(None).cast("string").alias("old_path")
+    added = come.join(renamed.select("file_path"), "file_path", "left_anti").select(F.lit("A").alias("change"), "file_path", none)
+    deleted = gone.join(renamed.select(F.col("old_path").alias("file_path")), "file_path", "left_anti").select(F.lit("D").alias("change"), "file_path", none)
+    modified = both.where("was <> `is`").select(F.lit("M").alias("change"), "file_path", none)
+    return renamed.select(F.lit("R").alias("change"), "file_path", "old_path").unionByName(added).unionByName(deleted).unionByName(modified)
+
+
+def header_cascade(changed: DataFrame, includes: DataFrame) -> DataFrame:
+    """(file_path, why): the changed files (file_path) and those that include a changed header by its name.
+
+    ``includes`` has (file_path, header); as in an include line, the header's
+    last part tells.
+    """
+    base = lambda c: F.substring_index(c, "/", -1)
+    own = changed.select("file_path").distinct()
+    headers = own.where(F.col("file_path").rlike(r"\.(h|hpp)$")).select(base("file_path").alias("base")).distinct()
+    by = includes.withColumn("base", base("header")).join(headers, "base", "left_semi").select("file_path").distinct()
+    return own.withColumn("why", F.lit("changed")).unionByName(by.join(own, "file_path", "left_anti").withColumn("why", F.lit("includes")))

@@ -124,3 +124,32 @@ def similar_titles(titles: DataFrame, num: int = 17, den: int = 20) -> DataFrame
     near = a.join(b, "word").where("a < b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b").distinct()
     s = near.join(t.select(F.col("title").alias("a"), F.col("w").alias("wa")), "a").join(t.select(F.col("title").alias("b"), F.col("w").alias("wb")), "b")
     return s.where(F.size(F.array_intersect("wa", "wb")) * den > F.size(F.array_union("wa", "wb")) * num).select("a", "b")
+
+
+def numbered_rows(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``k``, the place from 0 of each row in the order of a unique column.
+
+    The rows are range-partitioned and numbered inside of each partition; only
+    the number of rows of each partition reaches the driver.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = materialize(df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in rows.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # one row a partition
+        offsets.append((r["_p"], before))
+        before += r["n"]
+    start = df.sparkSession.createDataFrame(offsets, "_p int, _before long")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return rows.withColumn("_i", inside).join(F.broadcast(start), "_p").withColumn("k", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+
+
+def positional(items: DataFrame, results: DataFrame, order: str, start: int = 0) -> DataFrame:
+    """Items from place ``start`` on with ``other``, the result that belongs to each.
+
+    If there are as many results as such items, results count from the first of
+    them, else from the first item of all; items without a result are left out.
+    """
+    a = materialize(numbered_rows(items, order).where(F.col("k") >= start))
+    b = materialize(numbered_rows(results, order).select(F.col(order).alias("other"), F.col("k").alias("j")))
+    shift = start if a.count() == b.count() else 0
+    return a.join(b, F.col("k") - shift == F.col("j")).drop("j")

@@ -110,27 +110,12 @@ def _prs(spark):
     return spark.createDataFrame([(1, "src/core/a.cc,lib/b.h", "3,9"), (2, "a.cc", "4"), (3, "none.c", None)], "pr int, paths string, fixes string")
 
 
-@q("JN10", f"SELECT pr, path, file_path FROM (SELECT pr, unnest(string_split(paths, ',')) AS path FROM {_PRS}) p JOIN {_FILES} ON f.file_path = p.path OR ends_with(f.file_path, '/' || p.path)")
-def jn10(spark, d):
-    from codequarry.operators.filters import suffix_matches
-
-    files = spark.createDataFrame([("src/core/a.cc",), ("src/net/a.cc",), ("lib/b.h",)], "file_path string")
-    p = _prs(spark).select("pr", F.explode(F.split("paths", ",")).alias("wanted"))
-    return p.join(suffix_matches(p, files), "wanted").where(F.length("wanted") <= F.length("file_path")).select("pr", F.col("wanted").alias("path"), "file_path")
-
-
 @q("JN11", f"""WITH {SQL_FUNCTIONS}, s AS (SELECT DISTINCT id, name FROM (SELECT id, unnest(list_concat(regexp_extract_all(body, '`([A-Za-z_][A-Za-z0-9_]*)`', 1), regexp_extract_all(body, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1))) AS name FROM issues WHERE body IS NOT NULL) z)
   SELECT id, name FROM s WHERE length(name) >= 3 AND name IN (SELECT name FROM functions WHERE name IS NOT NULL)""")
 def jn11(spark, d):
     return j.mentioned_names(table(spark, d, "issues"), "id", "body", functions(spark, d))
 
 
-@q("JN12", f"SELECT pr, n AS issue FROM (SELECT pr, unnest(string_split(fixes, ',')) AS n FROM {_PRS}) p WHERE n IN ('3', '4', '5')")
-def jn12(spark, d):
-    issues = spark.createDataFrame([("3",), ("4",), ("5",)], "issue string")
-    return _prs(spark).select("pr", F.explode(F.split("fixes", ",")).alias("issue")).join(issues, "issue").select("pr", "issue")
-
-
 _G = f"WITH {SQL_NODES}, {SQL_CALLS}"
 
 
@@ -141,13 +126,6 @@ def jn13(spark, d):
     return c.join(a, "src").join(b, "dst").select("src", "src_file", "dst", "dst_file")
 
 
-@q("JN14", "WITH r AS (SELECT qa_id, result_id, row_number() OVER (PARTITION BY qa_id ORDER BY result_id) AS k FROM (SELECT DISTINCT qa_id, result_id FROM qa_results WHERE qa_id IS NOT NULL) z) SELECT a.qa_id, a.result_id AS first_run, b.result_id AS next_run FROM r a JOIN r b ON b.qa_id = a.qa_id AND b.k = a.k + 1")
-def jn14(spark, d):
-    r = table(spark, d, "qa_results").where("qa_id IS NOT NULL").select("qa_id", "result_id").distinct()
-    nxt = F.lead("result_id").over(Window.partitionBy("qa_id").orderBy("result_id"))
-    return r.select("qa_id", F.col("result_id").alias("first_run"), nxt.alias("next_run")).where("next_run IS NOT NULL")
-
-
 @q("JN15", f"WITH {SQL_FUNCTIONS}, g AS (SELECT DISTINCT file_path FROM functions), e AS (SELECT file_path, count(DISTINCT rf_id) AS n FROM retrieved_functions WHERE file_path IS NOT NULL GROUP BY 1) SELECT g.file_path, coalesce(e.n, 0) AS visits, e.n IS NULL AS gap FROM g LEFT JOIN e USING (file_path)")
 def jn15(spark, d):
     e = table(spark, d, "retrieved_functions").where("file_path IS NOT NULL").groupBy("file_path").agg(F.countDistinct("rf_id").alias("n"))

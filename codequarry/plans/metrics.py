@@ -146,13 +146,6 @@ def ag19(spark, d):
     return e.groupBy("kind").agg(F.sum("v").alias("tokens"), F.count("*").alias("n"))
 
 
-@q("AG20", f"{_R} SELECT round(avg(CASE WHEN coalesce(error, '') = '' THEN total_latency_ms END) - avg(CASE WHEN coalesce(error, '') <> '' THEN total_latency_ms END), 4) AS latency_delta, count(*) FILTER (coalesce(error, '') = '') - count(*) FILTER (coalesce(error, '') <> '') AS count_delta FROM once")
-def ag20(spark, d):
-    ok = F.coalesce("error", F.lit("")) == ""
-    t = F.col("total_latency_ms")
-    return _once(spark, d).agg(F.round(F.avg(F.when(ok, t)) - F.avg(F.when(~ok, t)), 4).alias("latency_delta"), (F.count_if(ok) - F.count_if(~ok)).alias("count_delta"))
-
-
 _PATHS = "regexp_extract_all(answer, '[A-Za-z0-9_/]+/[A-Za-z0-9_]+[.](?:cpp|cc|cu|h|py)')"
 _CITED = f"cited AS (SELECT DISTINCT result_id, unnest({_PATHS}) AS path FROM once WHERE answer IS NOT NULL)"
 

@@ -122,14 +122,3 @@ def wn10(spark, d):
 _TREE = """[{"name": "Pool", "kind": 5, "range": {"start": {"line": 0}, "end": {"line": 9}}, "children": [
   {"name": "run", "kind": 6, "detail": "int ()", "range": {"start": {"line": 2}, "end": {"line": 4}}}, {"name": "n", "kind": 8, "range": {"start": {"line": 5}, "end": {"line": 5}}}]},
   {"name": "Color", "kind": 10, "range": {"start": {"line": 11}, "end": {"line": 12}}}, {"name": "main", "kind": 12, "detail": "int ()", "range": {"start": {"line": 14}, "end": {"line": 20}}}]"""
-
-
-@q("SRC5", "SELECT * FROM (VALUES ('a.cc', 'Pool', 'class', NULL, 1, 10, NULL), ('a.cc', 'run', 'method', 'int ()', 3, 5, 'Pool'), ('a.cc', 'n', 'field', NULL, 6, 6, 'Pool'), ('a.cc', 'main', 'function', 'int ()', 15, 21, NULL)) AS t(file_path, name, kind, signature, start_line, end_line, parent_class)")
-def src5(spark, d):
-    return landed.symbols(spark.createDataFrame([("a.cc", _TREE), ("b.cc", "no json"), ("c.cc", None)], "file_path string, tree string"))
-
-
-@q("SRC6", "SELECT * FROM (VALUES ('o/r#i1', 1, 'new', 'closed'), ('o/r#i2', 2, 'two', 'open')) AS t(id, number, title, state)")
-def src6(spark, d):
-    pages = [(1, '[{"number": 1, "title": "old", "state": "open"}, {"number": 7, "title": "pr", "state": "open", "pull_request": {"url": "u"}}]'), (2, '[{"number": 1, "title": "new", "state": "closed"}, {"number": 2, "title": "two", "state": "open"}]'), (3, "[]")]
-    return landed.issue_pages(spark.createDataFrame(pages, "page int, body string"), "o/r").select("id", "number", "title", "state")

@@ -220,16 +220,6 @@ def rt22(spark, d):
     return u.select(F.concat("u.file_path", F.lit(":"), "u.start_line").alias("place")).distinct()
 
 
-@q("SRC7", "SELECT qa_id, len(retrieved_functions) AS n FROM qa_results WHERE retrieved_functions IS NOT NULL AND qa_id IS NOT NULL GROUP BY ALL")
-def src7(spark, d):
-    return table(spark, d, "qa_results").where("retrieved_functions IS NOT NULL AND qa_id IS NOT NULL").select("qa_id", F.size("retrieved_functions").alias("n")).distinct()
-
-
-@q("SRC8", "SELECT label, count(*) AS n, max(len(embedding)) AS dims FROM embeddings GROUP BY label")
-def src8(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims"))
-
-
 _SNAP = "old AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_totalprice AS v FROM orders WHERE o_orderkey % 10 <> 0), new AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 2 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 10 <> 1)"
 
 
@@ -239,12 +229,6 @@ def _snap(spark, d):
     return o.where(m != 0), o.where(m != 1).select("id", F.when(m == 2, "X").otherwise(F.col("s")).alias("s"), F.when(m != 3, F.col("v")).alias("v"))
 
 
-@q("SRC11", f"WITH {_SNAP} SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM old a FULL JOIN new b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.s IS DISTINCT FROM b.s OR a.v IS DISTINCT FROM b.v")
-def src11(spark, d):
-    a, b = _snap(spark, d)
-    return inc.snapshot_diff(a, b, "id", ["s", "v"])
-
-
 @q("SNK1", f"WITH {_SNAP} SELECT coalesce(a.id, b.id) AS id, coalesce(b.s, a.s) AS s, coalesce(b.v, a.v) AS v FROM old a FULL JOIN new b ON a.id = b.id")
 def snk1(spark, d):
     return inc.upsert(*_snap(spark, d), "id")
@@ -288,11 +272,6 @@ def snk5(spark, d):
     return n.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), "n").unionByName(e.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "n"))
 
 
-@q("SNK6", "SELECT id, state, substr(title, 1, 4096) AS title, substr(body, 1, 65535) AS body FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, state DESC NULLS LAST, title DESC NULLS LAST, body DESC NULLS LAST) AS r FROM issues WHERE id IS NOT NULL) z WHERE r = 1")
-def snk6(spark, d):
-    return issue_rows(table(spark, d, "issues"))
-
-
 _GRAPH = f"""WITH {SQL_FUNCTIONS}, fl AS (SELECT DISTINCT file_path FROM functions), dr AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS d FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(file_path, '/') AS p FROM fl) y) z), cl AS (SELECT DISTINCT file_path, parent_class FROM functions WHERE parent_class IS NOT NULL)"""
 
 
@@ -344,11 +323,6 @@ def agt10(spark, d):
     return c.whole_or_best(_bodies(spark, d), 5000)
 
 
-@q("AGT12", "SELECT event_id, 'unknown' AS query_type, 0 AS symbols, CAST(0.0 AS DOUBLE) AS confidence FROM events")
-def agt12(spark, d):
-    return table(spark, d, "events").select("event_id", c.query_analysis("props").alias("a")).select("event_id", "a.query_type", "a.symbols", "a.confidence")
-
-
 @q("AGT13", "SELECT DISTINCT result_id, 'Q: ' || coalesce(question, '') || chr(10) || 'A: ' || coalesce(answer, '') AS prompt FROM qa_results")
 def agt13(spark, d):
     p = c.render("Q: {question}\nA: {answer}", {"question": F.col("question"), "answer": F.col("answer")})

@@ -89,12 +89,6 @@ def tx6(spark, d):
 _FIX = "(VALUES (1, 'Fixes #12 and closes #7'), (2, 'resolve #3, RESOLVES  #40'), (3, 'see #9'), (4, NULL)) AS t(pr, body)"
 
 
-@q("TX7", f"SELECT pr, CAST(unnest(regexp_extract_all(body, '(?i)(?:fixes?|closes?|resolves?)\\s+#(\\d+)', 1)) AS INTEGER) AS issue FROM {_FIX}")
-def tx7(spark, d):
-    rows = [(1, "Fixes #12 and closes #7"), (2, "resolve #3, RESOLVES  #40"), (3, "see #9"), (4, None)]
-    return spark.createDataFrame(rows, "pr int, body string").select("pr", F.explode(t.fixed_issues(F.col("body"))).alias("issue"))
-
-
 @q("TX8", f"WITH {_I}, m AS (SELECT id, unnest(list_concat(regexp_extract_all(body, '`([A-Za-z_][A-Za-z0-9_]*)`', 1), regexp_extract_all(body, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1))) AS name FROM i) SELECT DISTINCT id, name FROM m WHERE length(name) >= 4")
 def tx8(spark, d):
     return _issues(spark, d).select("id", F.explode(t.mentions(F.col("body"))).alias("name")).distinct()
@@ -209,16 +203,3 @@ def tx23(spark, d):
 @q("TX24", f"WITH {_KNOWN} SELECT path, coalesce(k.file_path, kb.file_path) AS file_path FROM p LEFT JOIN k ON k.file_path = path LEFT JOIN kb ON kb.base = string_split(path, '/')[-1]")
 def tx24(spark, d):
     return _resolve(spark, d).select("path", F.coalesce("same", "by_base").alias("file_path"))
-
-
-@q("TX25")
-def tx25(spark, d):
-    rows = [(1, 'Sure:\n```json\n{"type": "symbol", "symbols": ["a", "b"],}\n```'), (2, 'x {"type": "topic", "symbols": []} y'), (3, "no object"), (4, None)]
-    r = spark.createDataFrame(rows, "id int, reply string").withColumn("o", t.json_from_reply(F.col("reply"), "type string, symbols array<string>"))
-    return r.select("id", "o.type", F.size("o.symbols").alias("n"))
-
-
-@q("TX27")
-def tx27(spark, d):
-    rows = [(1, "E1 src/a.cc:3-9 call_site; E2 lib/b.h:7 state；E1 src/c.cc:1 other"), (2, "none")]
-    return t.gold_evidence(spark.createDataFrame(rows, "id int, raw string"), "id", "raw")

@@ -43,11 +43,14 @@ def read_markdown(spark: SparkSession, root: str, most_lines: int = 3000, denied
     return docs.where(~F.col("file_path").rlike(denied) & (F.size(F.split("text", "\n")) <= most_lines))
 
 
-def read_records(spark: SparkSession, path: str, kind: str, items: str | None = None) -> DataFrame:
-    """Benchmark and result files: json (one document, rows below ``items``), jsonl or csv."""
+def read_records(spark: SparkSession, path: str, kind: str, items: str | None = None, schema: str | None = None) -> DataFrame:
+    """Benchmark and result files: json (one document, rows below ``items``), jsonl or csv.
+
+    With a ``schema`` only its fields are parsed and no file is read twice to infer them.
+    """
     if kind == "csv":
         return spark.read.csv(path, header=True, multiLine=True, escape='"')
-    df = spark.read.json(path, multiLine=kind == "json")
+    df = spark.read.json(path, schema=schema, multiLine=kind == "json")
     return df.select(F.explode(items).alias("r")).select("r.*") if items else df
 
 

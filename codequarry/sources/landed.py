@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Symbol kinds of the language server protocol that count (fixed values); enums are no functions.
@@ -56,14 +56,17 @@ def symbols(trees: DataFrame) -> DataFrame:
 _ISSUE = "array<struct<number:int,title:string,body:string,state:string,created_at:string,pull_request:struct<url:string>>>"
 
 
-def issue_pages(pages: DataFrame, repository: str) -> DataFrame:
+def issue_pages(pages: DataFrame, repository: str | Column) -> DataFrame:
     """(id, number, title, body, state, created_at) of landed pages (page, body), pull requests left out.
 
+    ``repository`` is the pages' repository or a column with it.
+
     An issue that moved between two fetched pages counts once, from the later page.
     """
-    each = pages.select("page", F.explode(F.from_json("body", _ISSUE)).alias("i")).where("i.pull_request IS NULL AND i.number IS NOT NULL")
-    last = each.groupBy("i.number").agg(F.max_by("i", "page").alias("i"))
+    repo = F.lit(repository) if isinstance(repository, str) else repository
+    each = pages.select(repo.alias("repo"), "page", F.explode(F.from_json("body", _ISSUE)).alias("i")).where("i.pull_request IS NULL AND i.number IS NOT NULL")
+    last = each.groupBy("repo", "i.number").agg(F.max_by("i", "page").alias("i"))
     return last.select(
-        F.concat(F.lit(repository + "#i"), F.col("i.number").cast("string")).alias("id"), "i.number", "i.title", "i.body", "i.state",
+        F.concat("repo", F.lit("#i"), F.col("i.number").cast("string")).alias("id"), "i.number", "i.title", "i.body", "i.state",
         F.col("i.created_at").try_cast("timestamp_ntz").alias("created_at"),
     )
