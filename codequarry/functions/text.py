@@ -197,3 +197,93 @@ def identifiers_first(words: Column) -> Column:
     """Words in order, those with an underscore put in front one after the other, so the last of them leads."""
     has = lambda w: w.contains("_")
     return F.concat(F.reverse(F.filter(words, has)), F.filter(words, lambda w: ~has(w)))
+
+
+#: What an identifier looks like in a question, upper and lower case alike (fixed values).
+IDENTIFIERS = (r"\b[A-Z][a-z]+[A-Z][a-zA-Z0-9_]*\b", r"\b[a-z_][a-z0-9_]*_t\b", r"\b[A-Z]{2,}_\w+\b")
+
+
+def _once_lower(words: Column) -> Column:
+    """The first of the words that are equal but for case."""
+    low = F.transform(words, lambda w: F.lower(w))
+    return F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_position(low, F.get(low, k - 1)) == k), lambda k: F.get(words, k - 1))
+
+
+def rewrite(questions: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
+    """The search terms of every question (question): (question, identifiers, keywords, queries, kinds).
+
+    ``identifiers`` are at most ten words of three characters or more in the
+    order of their patterns. ``keywords`` are at most twelve: identifiers, the
+    code words of the ``terms`` that the question contains, acronyms, and the
+    parts of code words of several words. ``queries`` are at most eight: the
+    first identifiers, the first keywords together, and pairs. ``kinds`` tell
+    what each identifier is.
+    """
+    q, none = F.col("question"), F.array().cast("array<string>")
+    word = lambda x: F.length(x) >= 3
+    ident = F.filter(F.concat(*[_all(q, "(?i)" + p) for p in IDENTIFIERS]), word)
+    said = F.array(*[F.when(q.contains(k), F.array(*[F.lit(x) for x in v])) for k, v in terms.items()]) if terms else F.array(none)
+    out = questions.select("question", ident.alias("all"), F.array_distinct(F.flatten(F.array_compact(said))).alias("found"))
+    out = out.withColumn("identifiers", F.when(F.size("all") > 0, F.slice(_once_lower(F.col("all")), 1, 10)).otherwise(none))
+    plain = F.filter("found", lambda x: word(x) & ~x.contains(" "))
+    parts = F.filter(F.flatten(F.transform(F.filter("found", lambda x: x.contains(" ")), lambda x: F.split(x, " "))), word)
+    out = out.withColumns({"low": F.transform("identifiers", lambda w: F.lower(w)), "every": F.filter(F.concat("identifiers", plain, _all(q, r"\b[A-Z]{2,}\b"), parts), word)})
+    # a type's name says no more than the identifier it ends
+    out = out.withColumn("every", F.filter("every", lambda w: ~(F.endswith(w, F.lit("_t")) & F.array_contains("low", F.substring(w, F.lit(1), F.greatest(F.length(w) - 2, F.lit(0)))))))
+    out = out.withColumn("keywords", F.when(F.size("every") > 0, F.slice(_once_lower(F.col("every")), 1, 12)).otherwise(none))
+    pairs = F.flatten(F.transform(F.slice("identifiers", 1, 2), lambda a: F.transform(F.filter(F.slice("keywords", 1, 3), lambda b: F.lower(a) != F.lower(b)), lambda b: F.concat(a, F.lit(" "), b))))
+    together = F.when(F.size("keywords") > 0, F.array(F.array_join(F.slice("keywords", 1, 3), " "))).otherwise(none)
+    kind = lambda w: F.when(w.rlike("^[A-Z]{2,}_"), "macro").when(w.endswith("_t"), "type").when(w.rlike("^[A-Z][a-z]+[A-Z]"), "class").otherwise("unknown")
+    return out.select("question", "identifiers", "keywords", F.slice(F.array_distinct(F.concat(F.slice("identifiers", 1, 3), together, pairs)), 1, 8).alias("queries"), F.transform("identifiers", kind).alias("kinds"))
+
+
+def cited_files(text: Column, heading: str) -> Column:
+    """The places of the list under a heading line, in order: (path, line)."""
+    items = F.regexp_extract(text, rf"(?m)^(?:#+ )?{heading}[ \t]*\n((?:- [^\n]*(?:\n|\z))+)", 1)
+    return evidence(items)
+
+
+def markdown_chunks(text: Column, most: int = 600) -> Column:
+    """Chunks of a text of at most ``most`` characters: whole sections while they fit, longer ones by lines.
+
+    A line that is longer by itself is one chunk.
+    """
+    sections_ = F.filter(F.transform(F.split(text, r"\n(?=##?\s)"), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
+    head = F.lit(r"^(#{1,3}\s+[^\n]+)\n([\s\S]*)$")
+    laid = F.transform(sections_, lambda s: F.when(F.regexp_like(s, head), F.concat(F.trim(F.regexp_extract(s, r"^(#{1,3}\s+[^\n]+)\n([\s\S]*)$", 1)), F.lit("\n\n"), F.regexp_replace(F.regexp_extract(s, r"^(#{1,3}\s+[^\n]+)\n([\s\S]*)$", 2), r"^\s+|\s+$", ""))).otherwise(s))
+    # pieces with what joins them to the piece before: a section that is too long comes as its lines, the first of which starts anew
+    line = lambda x, sep, new: F.struct(x.alias("t"), F.lit(sep).alias("sep"), new.alias("new"))
+    pieces = F.flatten(F.transform(laid, lambda s: F.when(F.length(s) > most, F.transform(F.split(s, "\n"), lambda x, k: line(x, "\n", k == 0))).otherwise(F.array(line(s, "\n\n", F.lit(False))))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(acc, p):
+        fits = (F.length(acc["now"]) + F.length(p["t"]) <= most) & ~p["new"]
+        more = F.when(acc["now"] == "", p["t"]).otherwise(F.concat(acc["now"], p["sep"], p["t"]))
+        full = F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+        return F.when(fits, F.struct(acc["done"].alias("done"), more.alias("now"))).otherwise(F.struct(full.alias("done"), p["t"].alias("now")))
+
+    return F.aggregate(pieces, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+
+
+#: What a function's name says about its work (fixed values).
+SEMANTIC_TAGS = {
+    "init": r"_(init|new|create|alloc)\b", "free": r"_(free|destroy|release|delete|cleanup|clear)\b", "forward": r"_(forward|compute|calc|run|exec|apply)\b", "get": r"\bget_|_\bget\b", "set": r"\bset_|_\bset\b",
+    "sample": r"_sample|_sampler|_prob", "quant": r"_quant|_dequant|_iq_", "io": r"_load|_save|_read|_write|_parse|_dump|_encode|_decode", "graph": r"_graph|_node|_edge", "backend": r"_backend|_device|_dev_",
+    "mem": r"_mem|_alloc|_buffer|_pool", "sync": r"_sync|_barrier|_fence", "thread": r"_thread|_parallel|_worker", "token": r"_token|_tok_", "kv": r"_kv_|_kv_cache",
+}
+
+
+def semantic_tags(name: Column) -> Column:
+    """The tags of a name, or ``other``."""
+    low = F.lower(name)
+    tags = F.array_compact(F.array(*[F.when(low.rlike(p.replace(r"\b", BORDER)), F.lit(k)) for k, p in SEMANTIC_TAGS.items()]))
+    return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("other")))
+
+
+def two_tiers(path: Column, tiers: list[tuple[str, str]], name: Column, inner: dict[str, list[tuple[str, str]]]) -> Column:
+    """(tier1, tier2): the first prefix in ``tiers`` that the path has, and the first name prefix of that tier in ``inner``."""
+    one = F.coalesce(*[F.when(path.startswith(p), F.lit(k)) for p, k in tiers], F.lit("other"))
+    two = F.lit(None).cast("string")
+    for tier, prefixes in inner.items():
+        two = F.when(one == tier, F.coalesce(*[F.when(name.startswith(p), F.lit(k)) for p, k in prefixes], F.lit("other"))).otherwise(two)
+    return F.struct(one.alias("tier1"), two.alias("tier2"))

@@ -64,13 +64,6 @@ def gr4(spark, d):
     return per.groupBy("class").agg(F.sum("n").alias("members"), best.alias("b")).select("class", "members", F.col("b.file_path").alias("main_file"))
 
 
-@q("GR5", f"""WITH {SQL_FUNCTIONS} SELECT parent_class, min(file_path) AS main_file, count(DISTINCT name) AS methods, min(start_line) AS first_line, max(end_line) AS last_line
-  FROM functions WHERE parent_class IS NOT NULL GROUP BY parent_class""")
-def gr5(spark, d):
-    fn = functions(spark, d).where("parent_class IS NOT NULL")
-    return fn.groupBy("parent_class").agg(F.min("file_path").alias("main_file"), F.countDistinct("name").alias("methods"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"))
-
-
 _SEEDS = "(SELECT name AS seed FROM nodes WHERE name LIKE 'parse\\_%' ESCAPE '\\')"
 
 
@@ -183,29 +176,6 @@ def gr17(spark, d):
 _DIR = "regexp_replace(file_path, '/[^/]*$', '')"
 
 
-@q("GR18", _G + f""", {_DEG}, a AS (SELECT name, {_DIR} AS dir, coalesce(degree, 0) AS degree, coalesce(in_degree, 0) AS i, coalesce(out_degree, 0) AS o FROM nodes LEFT JOIN deg USING (name)),
-  s AS (SELECT name, 'degree' AS why FROM (SELECT name FROM a ORDER BY degree DESC, name LIMIT 200) t
-   UNION ALL SELECT name, 'entry' FROM (SELECT name FROM a WHERE i <= 2 AND o >= 2 ORDER BY o DESC, name LIMIT 100) t
-   UNION ALL SELECT name, 'name' FROM (SELECT name FROM a WHERE regexp_matches(name, '^(init|run|main|parse|load)') ORDER BY degree DESC, name LIMIT 150) t
-   UNION ALL SELECT name, 'directory' FROM (SELECT name, row_number() OVER (PARTITION BY dir ORDER BY degree DESC, name) AS r FROM a) t WHERE r <= 2)
-  SELECT name, string_agg(why, '|' ORDER BY why) AS why FROM s GROUP BY name""")
-def gr18(spark, d):
-    from pyspark.sql import Window
-
-    n, c = _nc(spark, d)
-    a = n.withColumn("dir", F.regexp_replace("file_path", "/[^/]*$", "")).join(g.degrees(c), "name", "left").na.fill(0, ["degree", "in_degree", "out_degree"])
-    a = materialize(a)
-    top = lambda df, order, k, why: df.orderBy(F.desc(order), "name").limit(k).select("name", F.lit(why).alias("why"))
-    per = F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("degree"), "name"))
-    s = (
-        top(a, "degree", 200, "degree")
-        .unionByName(top(a.where("in_degree <= 2 AND out_degree >= 2"), "out_degree", 100, "entry"))
-        .unionByName(top(a.where(F.col("name").rlike("^(init|run|main|parse|load)")), "degree", 150, "name"))
-        .unionByName(a.withColumn("r", per).where("r <= 2").select("name", F.lit("directory").alias("why")))
-    )
-    return s.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("why")), "|").alias("why"))
-
-
 @q("GR19", _G + """, a AS (SELECT dst AS name, string_agg(src, '|' ORDER BY src) AS callers FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS r FROM calls) z WHERE r <= 8 GROUP BY dst),
   b AS (SELECT src AS name, string_agg(dst, '|' ORDER BY dst) AS callees FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM calls) z WHERE r <= 8 GROUP BY src)
   SELECT name, callers, callees FROM a FULL JOIN b USING (name)""")

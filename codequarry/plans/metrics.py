@@ -183,12 +183,6 @@ def ag24(spark, d):
     return long.unionByName(calls(spark, d).agg(F.count("*").alias("n")).select(F.lit("calls").alias("what"), "n"))
 
 
-@q("AG25", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN name IS NULL THEN 'no name' WHEN signature IS NULL THEN 'no signature' WHEN fan_in IS NULL THEN 'no fan-in' ELSE 'kept' END AS reason FROM function_nodes) z GROUP BY 1")
-def ag25(spark, d):
-    reason = F.when(F.col("name").isNull(), "no name").when(F.col("signature").isNull(), "no signature").when(F.col("fan_in").isNull(), "no fan-in").otherwise("kept")
-    return table(spark, d, "function_nodes").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @q("AG26", f"{_HITS} SELECT round(avg(CASE WHEN symbol_hit THEN 1.0 ELSE 0.0 END), 6) AS symbol_rate, round(avg(CASE WHEN file_hit THEN 1.0 ELSE 0.0 END), 6) AS file_rate FROM h")
 def ag26(spark, d):
     return _hits(spark, d).agg(a.share(F.col("symbol_hit")).alias("symbol_rate"), a.share(F.col("file_hit")).alias("file_rate"))
