@@ -287,3 +287,27 @@ def two_tiers(path: Column, tiers: list[tuple[str, str]], name: Column, inner: d
     for tier, prefixes in inner.items():
         two = F.when(one == tier, F.coalesce(*[F.when(name.startswith(p), F.lit(k)) for p, k in prefixes], F.lit("other"))).otherwise(two)
     return F.struct(one.alias("tier1"), two.alias("tier2"))
+
+
+def label_tier(labels: Column, tiers: list[tuple[str, list[str]]], other: str) -> Column:
+    """The first tier (name, labels) that shares a label with the array."""
+    out = F.lit(other)
+    for name, words in reversed(tiers):
+        out = F.when(F.arrays_overlap(F.coalesce(labels, F.array().cast("array<string>")), _lit(words)), name).otherwise(out)
+    return out
+
+
+def ranking_score(weight: Column, created: Column, ages: list[tuple[str, float]], oldest: float, unknown: float, stale: Column, stale_factor: float, bonus: Column) -> Column:
+    """weight x age x staleness x (1 + bonus), at most 1; ``ages`` are (first day, factor), newest first."""
+    age = F.when(created.isNull(), unknown)
+    for day, factor in ages:
+        age = age.when(created >= F.lit(day).cast("timestamp_ntz"), factor)
+    return F.least(F.lit(1.0), weight * age.otherwise(oldest) * F.when(stale, stale_factor).otherwise(1.0) * (1.0 + bonus))
+
+
+def code_signals(text: Column) -> Column:
+    """Whether a text has a commit hash, a source path and a call, as a struct of booleans; false for null."""
+    like = lambda p: F.coalesce(text.rlike(p.replace(r"\b", BORDER)), F.lit(False))
+    return F.struct(
+        like(r"\b[0-9a-f]{7,40}\b").alias("commit"), like(r"(?i)\b[\w/.-]+\.(c|cpp|h|cc|cxx|hpp)(\b|:\d+)").alias("path"), like(r"\b([a-zA-Z_][a-zA-Z0-9_]{2,30})\s*\(").alias("call")
+    )

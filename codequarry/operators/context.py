@@ -74,3 +74,61 @@ def frontier(found: DataFrame, visited: DataFrame, group: str) -> DataFrame:
     """(group, item, rank): new items of a group in order, without those visited."""
     new = found.select(group, "item").distinct().join(visited.select(group, "item"), [group, "item"], "left_anti")
     return new.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("item")))
+
+
+#: Actions that may be taken again on one target (fixed values).
+SEARCHES = ("grep_search", "semantic_search")
+
+
+def agent_loop(steps: DataFrame, group: str, most: int = 5) -> DataFrame:
+    """(group, step, action, target, gain) of the recorded steps that the loop takes.
+
+    ``steps`` has one row per found name: (group, step, action, target, name).
+    The last of ``most`` steps is no action any more. An action other than a
+    search is taken once per target; a repeated one is skipped. The gain of a
+    step are the names that no step before it found. After two steps in a row
+    that gain at most one name, from the third step on, the loop ends.
+    """
+    one = steps.where(F.col("step") < most).groupBy(group, "step", "action", "target").agg(F.count("*").alias("_n"))
+    again = F.row_number().over(Window.partitionBy(group, "action", "target").orderBy("step"))
+    taken = one.withColumn("_a", again).where((F.col("_a") == 1) | F.col("action").isin(*SEARCHES)).select(group, "step", "action", "target")
+    names = steps.join(taken.select(group, "step"), [group, "step"], "left_semi").where("name IS NOT NULL").groupBy(group, "name").agg(F.min("step").alias("step"))
+    gain = names.groupBy(group, "step").agg(F.count("*").alias("gain"))
+    rows = taken.join(gain, [group, "step"], "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
+    w = Window.partitionBy(group).orderBy("step")
+    ends = (F.col("step") >= 3) & (F.col("gain") <= 1) & (F.lag("gain").over(w) <= 1)
+    rows = rows.withColumn("_end", F.coalesce(ends, F.lit(False)).cast("int"))
+    before = F.coalesce(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_b", before).where("_b = 0").select(group, "step", "action", "target", "gain")
+
+
+def run_actions(actions: DataFrame, calls: DataFrame, functions: DataFrame, k: int = 10) -> DataFrame:
+    """(action, target, name, file_path, source): what the expanding actions (action, target) find, the first ``k`` names of each.
+
+    ``calls`` has (src, dst), ``functions`` (name, file_path, parent_class).
+    Other actions find nothing here.
+    """
+    a = actions.select("action", "target").distinct()
+    of = lambda action: a.where(F.col("action") == action)
+    place = functions.where("name IS NOT NULL").groupBy("name").agg(F.min("file_path").alias("file_path"))
+    callers = of("expand_callers").join(calls.select(F.col("dst").alias("target"), F.col("src").alias("name")), "target")
+    callees = of("expand_callees").join(calls.select(F.col("src").alias("target"), F.col("dst").alias("name")), "target")
+    linked = callers.unionByName(callees).join(place, "name").select("action", "target", "name", "file_path")
+
+    def beside(action: str, column: str) -> DataFrame:
+        own = functions.where(F.col(column).isNotNull() & F.col("name").isNotNull()).select("name", "file_path", *([column] if column != "file_path" else [])).distinct()
+        at = of(action).join(own.select(F.col("name").alias("target"), F.col(column).alias("_c")), "target").distinct()
+        near = at.join(own.withColumn("_c", F.col(column)), "_c").where("name <> target")
+        return near.groupBy("action", "target", "name").agg(F.min("file_path").alias("file_path"))
+
+    found = linked.unionByName(beside("expand_same_file", "file_path")).unionByName(beside("expand_same_class", "parent_class"))
+    w = Window.partitionBy("action", "target").orderBy("name")
+    source = F.concat(F.regexp_replace(F.regexp_replace("action", "^expand_", ""), "(caller|callee)s$", "$1"), F.lit("_of_"), "target")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("action", "target", "name", "file_path", source.alias("source"))
+
+
+def candidate_queue(offers: DataFrame, visited: DataFrame, group: str) -> DataFrame:
+    """(group, item, place): candidates in the order they were first offered (step, pos), without those visited."""
+    first = offers.groupBy(group, "item").agg(F.min(F.struct("step", "pos")).alias("_at"))
+    open_ = first.join(visited.select(group, "item").distinct(), [group, "item"], "left_anti")
+    return open_.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("_at", "item"))).select(group, "item", "place")

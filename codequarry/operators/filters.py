@@ -126,3 +126,24 @@ def variable_kind(in_class: str, in_function: str, symbol_kind: str) -> Column:
         .when(F.col(in_function), F.when(k == 8, "param").otherwise("local"))
         .otherwise(F.when(k == 26, "param").when(k == 8, "member").otherwise("global"))
     )
+
+
+def first_reason(rules: list[tuple[str, Column]], passed: str = "passed") -> Column:
+    """The name of the first rule (name, condition) that a row fails by meeting its condition, else ``passed``."""
+    out = None
+    for name, condition in rules:
+        out = F.when(condition, name) if out is None else out.when(condition, name)
+    return F.lit(passed) if out is None else out.otherwise(passed)
+
+
+def best_of_similar(rows: DataFrame, pairs: DataFrame, title: str, better: str, id_col: str) -> DataFrame:
+    """(id) of the rows with a similar title in a row that is better, or as good with a smaller id.
+
+    ``pairs`` has (a, b) of different similar titles; rows of one title are similar too.
+    """
+    best = rows.where(F.col(title).isNotNull()).groupBy(title).agg(F.min(F.struct((-F.col(better)).alias("s"), F.col(id_col).alias("i"))).alias("best"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    other = both.join(best.select(F.col(title).alias("b"), "best"), "b").groupBy(F.col("a").alias(title)).agg(F.min("best").alias("near"))
+    know = rows.join(best, title).join(other, title, "left").withColumn("least", F.least("best", F.coalesce("near", "best")))
+    own = F.struct((-F.col(better)).alias("s"), F.col(id_col).alias("i"))
+    return know.where(F.col("least") < own).select(id_col).distinct()

@@ -170,7 +170,7 @@ def gr16(spark, d):
 @q("GR17")
 def gr17(spark, d):
     c, fn, m = _modules(spark, d)
-    return g.module_names(materialize(g.merge_small(m, c, functions=fn)), nodes(spark, d))
+    return g.module_names(materialize(g.merge_small(m, c, functions=fn)), nodes(spark, d), c)
 
 
 _DIR = "regexp_replace(file_path, '/[^/]*$', '')"

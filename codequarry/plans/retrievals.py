@@ -33,11 +33,6 @@ def q(name: str, sql: str | None = None):
     return add
 
 
-@q("RT1", f"{_L} SELECT rf_id, line_no, text FROM lines WHERE regexp_matches(text, '(?i)mutex.*guard|too large: [0-9]+')")
-def rt1(spark, d):
-    return r.grep(lines(spark, d), "mutex.*guard|too large: [0-9]+").select("rf_id", "line_no", "text")
-
-
 @q("RT2", f"{_L} SELECT file_path, count(*) AS n FROM lines WHERE regexp_matches(text, '(?i)\\bfetch_frame\\b') OR contains(lower(text), 'lock_guard') GROUP BY 1")
 def rt2(spark, d):
     ln = lines(spark, d)
@@ -100,21 +95,6 @@ def rt7(spark, d):
     return r.contained_words(_questions(spark, d), table(spark, d, "issues"), "id", "title", 5).select("question", "id", "n")
 
 
-@q("RT8", f"""WITH a AS (SELECT question, {_WD % 'question'} AS qw FROM (SELECT DISTINCT question FROM qa_results WHERE question IS NOT NULL) z), h AS (SELECT DISTINCT id, {_WD % 'title'} AS tw FROM issues WHERE title IS NOT NULL),
-  n AS (SELECT question, id, round(len(list_intersect(qw, tw)) / len(list_distinct(list_concat(qw, tw))), 6) AS score FROM a JOIN h ON len(list_intersect(qw, tw)) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM n) SELECT question, id, score FROM k WHERE rank <= 3""")
-def rt8(spark, d):
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), "[^a-z0-9_]+"), lambda w: (F.length(w) > 2) & ~F.array_contains(F.array(*[F.lit(s) for s in t.INDEX_STOP_WORDS]), w)))
-    a = materialize(_questions(spark, d).select("question", words(F.col("question")).alias("qw")))
-    h = materialize(table(spark, d, "issues").where("title IS NOT NULL").select("id", words(F.col("title")).alias("tw")).distinct())
-    # overlaps are counted through the inverted index, sizes are carried along
-    x = a.select("question", F.size("qw").alias("n1"), F.explode("qw").alias("w"))
-    y = h.select("id", F.size("tw").alias("n2"), F.explode("tw").alias("w")).join(x.select("w").distinct(), "w", "left_semi")
-    n = x.join(y, "w").groupBy("question", "id", "n1", "n2").agg(F.count("*").alias("n"))
-    s = n.select("question", "id", F.round(F.col("n") / (F.col("n1") + F.col("n2") - F.col("n")), 6).alias("score"))
-    w = Window.partitionBy("question").orderBy(F.desc("score"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("question", "id", "score")
-
-
 @q("RT9", f"WITH {SQL_NODES}, {SQL_CALLS}, s AS (SELECT name FROM nodes WHERE contains(lower(name), 'parse_')), u AS (SELECT name, 'keyword' AS how FROM s UNION ALL SELECT dst, 'callee' FROM calls WHERE src IN (SELECT name FROM s)) SELECT name, max(how) AS how FROM u GROUP BY name")
 def rt9(spark, d):
     s = nodes(spark, d).where(F.lower("name").contains("parse_")).select("name")
@@ -157,12 +137,6 @@ def rt14(spark, d):
     return b.select("rf_id", r.chunk_text(*[F.col(x) for x in ("name", "file_path", "signature", "body")]).alias("text"))
 
 
-@q("RT15", "SELECT 'function' AS kind, count(DISTINCT rf_id) AS n FROM retrieved_functions UNION ALL SELECT 'issue', count(DISTINCT id) FROM issues UNION ALL SELECT 'document', count(DISTINCT doc_id) FROM documents")
-def rt15(spark, d):
-    one = lambda name, key, kind: table(spark, d, name).agg(F.countDistinct(key).alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return one("retrieved_functions", "rf_id", "function").unionByName(one("issues", "id", "issue")).unionByName(one("documents", "doc_id", "document"))
-
-
 @q("RT16", f"WITH {SQL_FUNCTIONS}, k AS (SELECT split_part(file_path, '/', 2) AS module, file_path, row_number() OVER (PARTITION BY split_part(file_path, '/', 2) ORDER BY {_LADDER} DESC, file_path) AS r FROM (SELECT DISTINCT file_path FROM functions) z) SELECT module, file_path FROM k WHERE r = 1")
 def rt16(spark, d):
     fl = functions(spark, d).select("file_path").distinct()
@@ -290,12 +264,6 @@ def _bodies(spark, d):
     return b.select("rf_id", "name", "file_path", "score", "source", "expand_level", F.length("body").alias("size"))
 
 
-@q("AGT1", f"{_R} SELECT qa_id, name, min(result_id) AS step FROM (SELECT qa_id, result_id, u.name AS name FROM (SELECT qa_id, result_id, unnest(rf) AS u FROM once WHERE qa_id IS NOT NULL) z) y WHERE name IS NOT NULL GROUP BY 1, 2")
-def agt1(spark, d):
-    s = _once(spark, d).where("qa_id IS NOT NULL").select("qa_id", F.col("result_id").alias("step"), F.explode("retrieved_functions.name").alias("name"))
-    return c.merge_steps(s.where("name IS NOT NULL"), "qa_id")
-
-
 @q("AGT4", f"{_R}, s AS (SELECT DISTINCT result_id, u.name AS item, u.score FROM (SELECT result_id, unnest(rf) AS u FROM once) z WHERE u.name IS NOT NULL AND u.score IS NOT NULL), v AS (SELECT result_id, item FROM s WHERE score > 0.8) SELECT result_id, item, row_number() OVER (PARTITION BY result_id ORDER BY item) AS rank FROM (SELECT DISTINCT result_id, item FROM s EXCEPT SELECT result_id, item FROM v) z")
 def agt4(spark, d):
     s = materialize(_ranked(spark, d).where("name IS NOT NULL AND score IS NOT NULL").select("result_id", F.col("name").alias("item"), "score"))
