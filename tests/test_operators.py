@@ -345,3 +345,62 @@ def test_parameter_flow_in_full(spark):
         "name": ("pass_to:log|return", "3,5"),
     }
     assert tuples(extract.parameters(body_lines(spark, ["int f(void) {"], ["int f(int a, std::vector<std::pair<int, int>> v, const Frame & frame) {"], ["int f(int a"], ["x"]))) == [(1, "a"), (1, "frame"), (1, "v")]
+
+
+def test_three_cycles_against_all_triples(spark):
+    r = random.Random(6)
+    names = [f"n{k:02d}" for k in range(18)]
+    edges = {(r.choice(names), r.choice(names)) for _ in range(110)} | {("n00", n) for n in names[1:]} | {(n, "n00") for n in names[5:]}
+    edges = {e for e in edges if e[0] != e[1]}
+    want = sorted((a, b, c) for a in names for b in names for c in names if a < b < c and {(a, b), (b, c), (c, a)} <= edges)
+    df = spark.createDataFrame(sorted(edges), "src string, dst string")
+    assert tuples(graph.three_cycles(df)) == want and want
+    chains = sorted((a, b, c, d) for a, b in edges for c in names if (b, c) in edges and c != a for d in names if (c, d) in edges and d not in (a, b))
+    assert [tuple(x) for x in graph.call_chains(df, 40).collect()] == chains[:40]
+    assert graph.call_chains(df.limit(0), 5).collect() == []
+
+
+def test_names_of_modules(spark):
+    nodes = [("a", "src/core/mem/x.cc"), ("b", "src/core/mempool/y.cc"), ("c", "lib/z.cc"), ("d", "app/q.cc"), ("e", "app/r.cc"), ("f", "top.cc"), ("h", None)]
+    mods = [("a", "m1"), ("b", "m1"), ("c", "m2"), ("d", "m2"), ("e", "m2"), ("f", "m3"), ("g", "m3"), ("h", "m4")]
+    calls = [("g", "a"), ("g", "b"), ("f", "a")]
+    got = graph.module_names(spark.createDataFrame(mods, "name string, module string"), spark.createDataFrame(nodes, "name string, file_path string"), spark.createDataFrame(calls, "src string, dst string"))
+    # by characters the first two directories agree up to "mem"; app is the most common one; no directory leaves the name with most calls
+    assert dict(tuples(got)) == {"m1": "mod_mem", "m2": "mod_app", "m3": "mod_g", "m4": "mod_h"}
+
+
+def test_class_bounds(spark):
+    body = "class Fwd;\nstruct Pool : Base<int> {\n  int n[2] = {0};\n  class In {\n  };\n};\nint f(struct X * x) {\n}\nclass Open {\n"
+    got = extract.class_spans(spark.createDataFrame([(1, body), (2, None)], "rf_id long, body string"))
+    assert tuples(got) == [(1, "In", 4, 5), (1, "Pool", 2, 6)]
+
+
+def test_agent_loop_skips_and_stops(spark):
+    rows = [("q", 1, "expand_callers", "a", n) for n in "abc"] + [("q", 2, "expand_callers", "a", "z"), ("q", 3, "grep_search", "a", "d"), ("q", 4, "grep_search", "a", "e"), ("q", 5, "grep_search", "b", "f")]
+    rows += [("r", 1, "grep_search", "x", None), ("r", 2, "grep_search", "x", "a"), ("r", 3, "grep_search", "x", "b"), ("r", 4, "grep_search", "x", "c"), ("r", 5, "grep_search", "x", "d")]
+    got = context.agent_loop(spark.createDataFrame(rows, "g string, step int, action string, target string, name string"), "g")
+    assert [(x.g, x.step, x.gain) for x in got.orderBy("g", "step").collect()] == [("q", 1, 3), ("q", 3, 1), ("q", 4, 1), ("r", 1, 0), ("r", 2, 1), ("r", 3, 1)]
+
+
+def test_rules_and_similar_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", 5), (2, "a b c d e f g", 9), (3, "G f e d c b a", 9), (4, "other", 1), (5, None, 1)], "id int, title string, n int")
+    assert tuples(filters.best_of_similar(df, joins.similar_titles(df), "title", "n", "id")) == [(1,), (3,)]
+    rule = filters.first_reason([("old", F.col("id") < 2), ("few", F.col("n") < 5)])
+    assert [x.r for x in df.select("id", rule.alias("r")).orderBy("id").collect()] == ["old", "passed", "passed", "few", "few"]
+    assert df.select(filters.first_reason([]).alias("r")).first().r == "passed"
+
+
+def test_changed_files_and_their_readers(spark):
+    state = lambda rows: spark.createDataFrame(rows, "file_path string, h string")
+    old, new = state([("a.h", "1"), ("b.cc", "2"), ("c.cc", "3"), ("d.cc", "4"), ("e.cc", "4")]), state([("a.h", "9"), ("x/b.cc", "2"), ("f.cc", "5"), ("g.cc", "4")])
+    got = incremental.file_changes(old, new)
+    assert tuples(got) == [("A", "f.cc", None), ("A", "g.cc", None), ("D", "c.cc", None), ("D", "d.cc", None), ("D", "e.cc", None), ("M", "a.h", None), ("R", "x/b.cc", "b.cc")]
+    includes = spark.createDataFrame([("m.cc", "lib/a.h"), ("a.h", "a.h"), ("n.cc", "b.cc")], "file_path string, header string")
+    assert tuples(incremental.header_cascade(got.where("change = 'M'"), includes)) == [("a.h", "changed"), ("m.cc", "includes")]
+
+
+def test_positions_with_an_offset(spark):
+    items = spark.createDataFrame([(k,) for k in range(20)], "i int").repartition(3)
+    part, every = items.where("i >= 12"), items.where("i < 15")
+    pairs = lambda df: [(x.i, x.other) for x in joins.positional(items, df, "i", 12).orderBy("i").collect()]
+    assert pairs(part) == [(k, k) for k in range(12, 20)] and pairs(every) == [(12, 12), (13, 13), (14, 14)]
