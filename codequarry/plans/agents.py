@@ -11,6 +11,7 @@ from codequarry.operators import filters as f
 from codequarry.operators import graph as g
 from codequarry.operators import joins as j
 from codequarry.operators import retrieval as r
+from codequarry.plans import retrievals
 from codequarry.plans.filters import _DEG
 from codequarry.plans.fixtures import SQL_CALLS, SQL_FUNCTIONS, SQL_LINES, SQL_NODES, calls, functions, lines, nodes
 from codequarry.plans.metrics import _R, _once, _ranked
@@ -199,3 +200,52 @@ def gr18(spark, d):
     part = lambda c_, k: F.split_part(c_, F.lit("/" if c_ == "file_path" else "_"), F.lit(k))
     groups = {"directory": (F.regexp_replace("file_path", "/[^/]*$", ""), 2), "module": (F.concat(part("file_path", 1), F.lit("/"), part("file_path", 2)), 3), "domain": (part("name", 1), 2)}
     return g.representatives(a, r"^(init|run|main|parse|load)", groups)
+
+
+# --- scopes: the best documents and the files they lead to ------------------------------------------------------------------------
+
+_PATH = "[A-Za-z0-9_/]+/[A-Za-z0-9_]+[.](?:cpp|cc|cu|h|py)"
+_LONG = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z]+'), lambda x: length(x) >= 4))"
+_SCOPE = f"""{SQL_FUNCTIONS}, known AS (SELECT DISTINCT file_path FROM functions WHERE file_path IS NOT NULL), top AS (SELECT question, id FROM ({retrievals.ORACLE["RT10"]}) t10), sec AS (SELECT doc_id AS id, regexp_extract(text, '(?m)^#{{1,3}} +([^\\n]*)', 1) AS title, text FROM documents WHERE text IS NOT NULL),
+  nm AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, '{_PATH}')) AS file_path FROM sec), ti AS (SELECT DISTINCT id, unnest({_LONG.format("title")}) AS word FROM sec), pa AS (SELECT file_path, unnest({_LONG.format("file_path")}) AS word FROM known),
+  led AS (SELECT word, file_path FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY file_path) AS r FROM pa WHERE word IN (SELECT word FROM ti)) z WHERE r <= 20),
+  ev AS (SELECT question, file_path FROM top JOIN nm USING (id) WHERE file_path IN (SELECT file_path FROM known) UNION SELECT question, file_path FROM top JOIN ti USING (id) JOIN led USING (word)
+   UNION SELECT question, file_path FROM (SELECT DISTINCT question, unnest(regexp_extract_all(question, '{_PATH}')) AS file_path FROM qa_results WHERE question IS NOT NULL) y WHERE file_path IN (SELECT file_path FROM known)),
+  scope AS (SELECT question, file_path FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY file_path) AS r FROM ev) x WHERE r <= 20)"""
+
+
+def _scope(spark, d):
+    top = materialize(retrievals.QUERIES["RT10"](spark, d).select("question", "id"))
+    sections = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.regexp_extract("text", r"(?m)^#{1,3} +([^\n]*)", 1).alias("title"), "text")
+    files = functions(spark, d).where("file_path IS NOT NULL").select("file_path")
+    return r.planned_scope(_questions(spark, d), top, sections, files)
+
+
+@q("RT11", f"WITH {_SCOPE} SELECT question, file_path FROM scope")
+def rt11(spark, d):
+    return _scope(spark, d)
+
+
+@q("RT17", f"""{_R}, {_SCOPE}, gold AS (SELECT DISTINCT result_id, unnest(regexp_extract_all(answer, '{_PATH}')) AS file_path FROM once WHERE answer IS NOT NULL), h AS (SELECT k.result_id, o.question, k.file_path, k.rank, s.file_path IS NOT NULL AS inside, CASE WHEN g.file_path IS NOT NULL THEN 1.0 ELSE 0.0 END AS rel FROM ranked k JOIN once o USING (result_id) LEFT JOIN scope s ON s.question = o.question AND s.file_path = k.file_path LEFT JOIN gold g ON g.result_id = k.result_id AND g.file_path = k.file_path WHERE k.file_path IS NOT NULL AND o.question IS NOT NULL),
+  w AS (SELECT *, row_number() OVER (PARTITION BY result_id, inside ORDER BY rank) AS r FROM h) SELECT result_id, round(1 - avg(CASE WHEN rank <= 10 THEN rel END), 6) AS global_noise, round(1 - avg(CASE WHEN inside AND r <= 10 THEN rel END), 6) AS scoped_noise FROM w GROUP BY 1""")
+def rt17(spark, d):
+    o = _once(spark, d).select("result_id", "question", "answer")
+    ranks = _ranked(spark, d).where("file_path IS NOT NULL").select("result_id", "file_path", "rank").join(o.where("question IS NOT NULL").select("result_id", "question"), "result_id")
+    gold = o.where("answer IS NOT NULL").select("result_id", F.explode(t.paths(F.col("answer"))).alias("file_path"))
+    return r.noise_ratios(ranks, materialize(_scope(spark, d)), gold)
+
+
+# Issues are kept, and edges between them, when the code graph is cleared.
+@q("SNK4", """WITH e AS (SELECT DISTINCT i.id AS src, 'NEXT' AS type, j.id AS dst FROM issues i JOIN issues j ON j.id = split_part(i.id, '#', 1) || '#i' || (i.number + 1)) SELECT 'node' AS what, id AS src, NULL AS dst FROM (SELECT DISTINCT id FROM issues WHERE id IS NOT NULL) z UNION ALL SELECT 'edge', src, dst FROM e""")
+def snk4(spark, d):
+    from codequarry.operators.incremental import connected_edges, delete_files
+
+    fn = functions(spark, d).where("file_path IS NOT NULL").select("id", "file_path")
+    i = materialize(table(spark, d, "issues").where("id IS NOT NULL").select("id", "number").distinct())
+    after = i.select(F.col("id").alias("src"), F.lit("NEXT").alias("type"), F.concat(F.substring_index("id", "#", 1), F.lit("#i"), F.col("number") + 1).alias("dst"))
+    said = table(spark, d, "issues").where("body IS NOT NULL").select(F.col("id").alias("src"), F.lit("MENTIONS").alias("type"), F.explode(t.paths(F.col("body"))).alias("dst"))
+    every = fn.select("id", "file_path").unionByName(i.select("id", F.lit(None).cast("string").alias("file_path"))).unionByName(fn.select(F.col("file_path").alias("id"), "file_path").distinct())
+    edges = connected_edges(after.unionByName(said), every)
+    kept, left = delete_files(materialize(every), materialize(edges), fn.select("file_path"))
+    none = F.lit(None).cast("string")
+    return kept.select(F.lit("node").alias("what"), F.col("id").alias("src"), none.alias("dst")).unionByName(left.select(F.lit("edge").alias("what"), "src", "dst"))

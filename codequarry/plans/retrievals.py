@@ -111,14 +111,6 @@ def rt10(spark, d):
     return r.bm25(_questions(spark, d), table(spark, d, "documents"), "doc_id", "text", 3).select("question", "id", F.round("score", 4).alias("score"))
 
 
-@q("RT11", f"WITH {SQL_FUNCTIONS}, said AS (SELECT DISTINCT question, unnest(regexp_extract_all(question, '[A-Za-z0-9_/]+/[A-Za-z0-9_]+[.](?:cpp|cc|cu|h|py)')) AS p FROM qa_results WHERE question IS NOT NULL), f AS (SELECT DISTINCT file_path FROM functions) SELECT DISTINCT question, f.file_path FROM said JOIN f ON split_part(f.file_path, '/', 1) = split_part(p, '/', 1) AND split_part(f.file_path, '/', 2) = split_part(p, '/', 2)")
-def rt11(spark, d):
-    said = _questions(spark, d).select("question", F.explode(t.paths(F.col("question"))).alias("p"))
-    said = said.select("question", F.substring_index("p", "/", 2).alias("scope")).distinct()
-    fl = functions(spark, d).select("file_path").distinct().withColumn("scope", F.substring_index("file_path", "/", 2))
-    return said.join(fl, "scope").select("question", "file_path").distinct()
-
-
 @q("RT12", f"{_CH}, {_TWO} SELECT qn AS question, file_path, name FROM t WHERE rr <= 1")
 def rt12(spark, d):
     from codequarry.operators.windows import two_stage
@@ -144,13 +136,6 @@ def rt16(spark, d):
     return fl.groupBy(F.split_part("file_path", F.lit("/"), F.lit(2)).alias("module")).agg(best).select("module", F.col("b.file_path").alias("file_path"))
 
 
-@q("RT17", f"{_R}, s AS (SELECT result_id, u.file_path AS p, question FROM (SELECT result_id, question, unnest(rf) AS u FROM once WHERE question IS NOT NULL) z WHERE u.file_path IS NOT NULL) SELECT result_id, round(1 - avg(CASE WHEN contains(question, split_part(p, '/', 2)) THEN 1.0 ELSE 0.0 END), 6) AS noise FROM s GROUP BY 1")
-def rt17(spark, d):
-    s = _once(spark, d).where("question IS NOT NULL").select("result_id", "question", F.explode("retrieved_functions.file_path").alias("p")).where("p IS NOT NULL")
-    inside = F.when(F.col("question").contains(F.split_part("p", F.lit("/"), F.lit(2))), 1.0).otherwise(0.0)
-    return s.groupBy("result_id").agg(F.round(1 - F.avg(inside), 6).alias("noise"))
-
-
 @q("RT18", f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM cos), g AS (SELECT vec_id AS query, label AS gold FROM embeddings), x AS (SELECT budget, k.query, max(CASE WHEN k.label = g.gold THEN 1.0 ELSE 0.0 END) AS hit FROM k JOIN g USING (query), (VALUES (1), (5), (10), (20)) AS b(budget) WHERE rank <= budget GROUP BY 1, 2) SELECT budget, round(avg(hit), 6) AS recall FROM x GROUP BY budget")
 def rt18(spark, d):
     e = table(spark, d, "embeddings")
@@ -230,14 +215,6 @@ def snk3(spark, d):
     return inc.duplicate_ids(table(spark, d, "function_nodes"))
 
 
-@q("SNK4", f"WITH {SQL_FUNCTIONS} SELECT 'kept' AS what, count(DISTINCT id) AS n FROM issues")
-def snk4(spark, d):
-    fn = functions(spark, d).select("id", "file_path")
-    kept, _ = inc.delete_files(fn, spark.createDataFrame([], "src string, type string, dst string"), fn.select("file_path"))
-    left = kept.select("id").unionByName(table(spark, d, "issues").select("id")).distinct()
-    return left.agg(F.count("*").alias("n")).select(F.lit("kept").alias("what"), "n")
-
-
 @q("SNK5", f"WITH {SQL_FUNCTIONS}, gone AS (SELECT file_path FROM functions WHERE name = 'main'), k AS (SELECT * FROM functions WHERE file_path NOT IN (SELECT file_path FROM gone)) SELECT 'nodes' AS what, count(*) AS n FROM k UNION ALL SELECT 'edges', count(*) FROM k WHERE fan_in > 3")
 def snk5(spark, d):
     fn = materialize(functions(spark, d))
