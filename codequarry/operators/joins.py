@@ -153,3 +153,12 @@ def positional(items: DataFrame, results: DataFrame, order: str, start: int = 0)
     b = materialize(numbered_rows(results, order).select(F.col(order).alias("other"), F.col("k").alias("j")))
     shift = start if a.count() == b.count() else 0
     return a.join(b, F.col("k") - shift == F.col("j")).drop("j")
+
+
+def batch(items: DataFrame, order: str, offset: int, limit: int, done: DataFrame) -> DataFrame:
+    """The items of a batch (places ``offset`` to ``offset + limit`` in the order of a unique column) that are not ``done`` yet, with their place ``k``.
+
+    The written results of an interrupted run are its checkpoint.
+    """
+    mine = numbered_rows(items, order).where((F.col("k") >= offset) & (F.col("k") < offset + limit))
+    return mine.join(done.select(order).distinct(), order, "left_anti")

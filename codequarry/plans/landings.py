@@ -263,3 +263,15 @@ def ag20(spark, d):
 def tk9(spark, d):
     words = F.regexp_extract_all("question", F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b".replace(r"\b", t.BORDER)), F.lit(0))
     return _once(spark, d).where("question IS NOT NULL").select("question").distinct().select("question", F.array_join(t.identifiers_first(words), "|").alias("words"))
+
+
+@q("AGT14_resume", f"{_R}, g AS (SELECT result_id, row_number() OVER (ORDER BY result_id) - 1 AS k FROM once) SELECT result_id, k FROM g WHERE k >= 50 AND k < 450 AND result_id % 3 <> 0")
+def agt14_resume(spark, d):
+    from codequarry.operators.joins import batch
+
+    items = _once(spark, d).select("result_id")
+    # a run that was interrupted has written every third result
+    path = _path(spark, "done")
+    items.where("result_id % 3 = 0").write.json(path)
+    done = read_records(spark, path, "jsonl", schema="result_id long")
+    return batch(items, "result_id", 50, 400, done)
