@@ -133,12 +133,23 @@ _TICKET = re.compile(r"(?:reference|incident|request|ray|error|ticket|trace)?\s*
 _NAMES_OF_NOTICE = re.compile(r"java\s*script|cloudflare|openresty", re.I)
 
 
-#: Every placeholder holds one of these.
-_HELD_BY = re.compile(r"[{%<$\[@【（]|__|\?\?\?|xxx|\(\s*(?:insert|enter|add|your|please|describe|fill|paste|write|put|todo|tbd|placeholder|replace|optional|required|e\.g\.|example|请|在此|此处|填写)", re.I)
+_IN_BRACKETS = re.compile(r"\(\s*(?:insert|enter|add|your|please|describe|fill|paste|write|put|todo|tbd|placeholder|replace|optional|required|e\.g\.|example|请|在此|此处|填写)", re.I)
+#: Every notice, and every sentence of an error page, holds one of these, which is told faster.
+_NOTICE_HINTS = ("script", "cookie", "checking", "human", "ddos", "browser", "moment", "redirected", "captcha", "security check", "脚本", "浏览器")
+_ERROR_HINTS = (
+    "error", "bad", "found", "page", "forbidden", "unauthori", "denied", "unavailable", "overloaded", "down", "time", "too many", "not allowed", "gone", "moved", "too large", "be reached", "be displayed", "be loaded", "be served",
+    "url", "resource", "try", "reload", "refresh", "wrong", "oops", "session", "sign in", "signin", "log in", "login", "occurred", "sorry", "limit exceeded", "maintenance", "request was", "upstream", "connection", "permission",
+    "系统", "稍后", "错误", "页面", "无法", "服务", "请求", "登录", "网关", "seite", "serverfehler", "página", "ページ",
+)
+
+
+def _may_hold(text: str) -> bool:
+    """Whether a placeholder may be in the text, by what every placeholder holds."""
+    return any(c in text for c in "{%<$[@【（") or "__" in text or "???" in text or "xxx" in text.lower() or "(" in text and bool(_IN_BRACKETS.search(text))
 
 
 def _has_placeholder(text: str) -> bool:
-    return bool(_HELD_BY.search(text) and _PLACEHOLDER.search(text))
+    return _may_hold(text) and bool(_PLACEHOLDER.search(text))
 
 
 def _names_code(text: str) -> bool:
@@ -159,9 +170,10 @@ def _sentence(p: str) -> str:
     if words and all(w in _DUMMY or re.fullmatch(r"(.)\1+", w) for w in words) and set(re.findall(r"\d+", p)) <= {"1", "12", "123", "1234", "12345"}:
         return "filler"
     bare = _QUOTE.sub(" ", p).strip()
-    if _NOTICE.search(bare):
+    low = " ".join(bare.lower().split())
+    if any(h in low for h in _NOTICE_HINTS) and _NOTICE.search(bare):
         return "notice"
-    if _ERROR.search(bare) and not _CODE.search(_NAMES_OF_NOTICE.sub("", _TICKET.sub("", p))):
+    if (bare[:1].isdigit() or any(h in low for h in _ERROR_HINTS)) and _ERROR.search(bare) and not _CODE.search(_NAMES_OF_NOTICE.sub("", _TICKET.sub("", p))):
         return "error"
     return "extra" if _EXTRA.search(core) else ""
 
@@ -173,7 +185,7 @@ def _parts(text: str) -> list[str]:
 
 def _residue(text: str) -> str:
     """The residue kind of a segment that consists of residue only, or ''."""
-    rest = _PLACEHOLDER.sub(" ", text) if _HELD_BY.search(text) else text
+    rest = _PLACEHOLDER.sub(" ", text) if _may_hold(text) else text
     if rest != text:
         left = re.sub(r"[^\W\d][\w ()/-]{0,30}\s*[:：=]", " ", rest)
         if not _ALNUM.search(left) or _residue(left.strip()) in ("placeholder", "filler", "blank"):
