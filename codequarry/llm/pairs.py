@@ -89,11 +89,12 @@ _ASKS_BACK = re.compile(
 _SAYS = (_DECLINES, _LACKS, _ASKS_BACK)
 
 #: Every alternative above holds one of these; most texts hold none, which is told faster.
-_HINTS = re.compile(
-    "sorry|declin|refus|can't|can ?not|could ?n[o']t|won't|will not|unable|not able|not allowed|not permitted|as an? |no answer|no statement|no conclusion|enough|insufficient|outside|beyond"
-    "|have access|nothing to|don't have|does not|do not|could you|can you|please|leider|tut mir|darf ich|kann ich|als ki|als sprachmodell|nicht genug|keine |ohne zugriff|bitte"
-    "|désolé|je suis|je ne peux|lo siento|no puedo|抱歉|对不起|無法|无法|不予|恕|超出|作为一|不便|请|没有足够|检索结果|不能回答|拒绝|申し訳|お答え|извините|не могу"
-)
+_HINTS = (
+    "sorry", "declin", "refus", "can't", "cannot", "can not", "could not", "couldn't", "won't", "will not", "unable", "not able", "not allowed", "not permitted", "as a", "no answer", "no statement", "no conclusion",
+    "enough", "insufficient", "outside", "beyond", "have access", "nothing to", "don't have", "does not", "do not", "could you", "can you", "please", "leider", "tut mir", "darf ich", "kann ich", "als ki", "als sprachmodell",
+    "nicht genug", "keine ", "ohne zugriff", "bitte", "désolé", "je suis", "je ne peux", "lo siento", "no puedo", "抱歉", "对不起", "無法", "无法", "不予", "恕", "超出", "作为一", "不便", "请", "没有足够", "检索结果", "不能回答", "拒绝",
+    "申し訳", "お答え", "извините", "не могу",
+)
 
 _ASK = (
     ("en", re.compile(r"\b(?:answer|reply|respond|write)\w*\s+(?:\w+\s+)?in\s+english\b|用英[文语語]|auf\s+englisch|en\s+(?:anglais|inglés)|英語で", re.I)),
@@ -246,6 +247,7 @@ def _dangling(body: str) -> bool:
 _SCRIPT_OF = {"en": "latin", "de": "latin", "fr": "latin", "es": "latin"}
 #: Where the language may change: after a sentence, but not after a short word that may be an abbreviation.
 _STOPS = re.compile(r"(?:(?<=[^\W\d_]{4}\.)|(?<=[!?…]))[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
+_SIX_WORDS = re.compile(r"\W*(?:[^\W_]+\W+){5}[^\W_]")
 _PLACE = re.compile(r"^\|.*\|\s*$|^\s*[-*+]\s+`?[\w./\\]+:\d+", re.M)
 
 
@@ -263,16 +265,22 @@ def votes(question: str | None, answer: str | None) -> tuple[str, str | None]:
     """
     question = question or ""
     visible = _INVISIBLE.sub(" ", answer or "").strip()
-    bare = _TAG.sub(" ", re.sub(r"```\w*", " ", visible))
-    bare = re.sub(r"[\s*_#>`~|:：.\-=+]+", " ", bare).strip()
-    words = bool(bare) and not _ONLY_LABEL.fullmatch(bare)
-    letters = bool(_WORD.search(bare))
+    # six words that are no markup are more than a label, which most answers show at once
+    words = letters = not any(m in visible for m in "<&`") and bool(_SIX_WORDS.match(visible))
+    if not words:
+        bare = _TAG.sub(" ", re.sub(r"```\w*", " ", visible))
+        bare = re.sub(r"[\s*_#>`~|:：.\-=+]+", " ", bare).strip()
+        words = bool(bare) and not _ONLY_LABEL.fullmatch(bare)
+        letters = bool(_WORD.search(bare))
     empty = _vote(not words, True) + _vote(not letters) + _vote(not visible)
 
     # marks may be lost anywhere, also inside of names, so letters and digits are compared
     told_back = _LEAD.sub("", visible).lower()
     q = "".join(_CHARS.findall(question.lower()))
-    a = "".join(_CHARS.findall(told_back))
+    # most answers begin otherwise than any repetition
+    first = "".join(_CHARS.findall(told_back[:80]))
+    may_repeat = bool(q) and any((x + q * (len(first) // len(q) + 1)).startswith(first) for x in ("", *_LEADS))
+    a = "".join(_CHARS.findall(told_back)) if may_repeat else ""
     times = len(a) // len(q) if q else 0
     lead = a[: len(a) - len(q) * times]
     same = bool(times) and a[len(lead) :] == q * times and (not lead or lead in _LEADS)
@@ -285,7 +293,8 @@ def votes(question: str | None, answer: str | None) -> tuple[str, str | None]:
     plain = re.sub(r"^(?:[-*+>#]+|\d+\.)\s+", "", plain, flags=re.M)
     flat = plain.replace("’", "'")
     hits: list[set[int]] = []
-    if _HINTS.search(" ".join(flat.lower().split())):
+    low = " ".join(flat.lower().split())
+    if any(h in low for h in _HINTS):
         parts = (flat[x:y] for x, y in units(flat))
         hits = [{k for k, p in enumerate(_SAYS) if p.search(x)} for x in parts if not x.startswith("|")]
     evidence = "```" in body or bool(_PLACE.search(body))
