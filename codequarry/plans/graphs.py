@@ -188,15 +188,11 @@ def gr19(spark, d):
   k AS (SELECT s.name AS symbol, n.name AS near, row_number() OVER (PARTITION BY s.name, s.file_path ORDER BY n.w DESC, n.name) AS r FROM s JOIN n ON n.file_path = s.file_path AND n.name <> s.name)
   SELECT DISTINCT symbol, f.file_path FROM (SELECT symbol, near FROM k WHERE r <= 2 UNION SELECT name, name FROM s) z JOIN (SELECT DISTINCT name, file_path FROM n) f ON f.name = z.near""")
 def gr20(spark, d):
-    from pyspark.sql import Window
-
     fn = functions(spark, d).where("name IS NOT NULL")
     n = materialize(fn.groupBy("name", "file_path").agg(F.sum(F.coalesce("fan_in", F.lit(0))).alias("w")))
     s = n.where(F.col("name").startswith("parse_")).select(F.col("name").alias("symbol"), "file_path")
-    w = Window.partitionBy("symbol", "file_path").orderBy(F.desc("w"), "name")
-    near = s.join(n, "file_path").where("symbol <> name").withColumn("r", F.row_number().over(w)).where("r <= 2").select("symbol", "name")
-    each = near.union(s.select("symbol", "symbol")).distinct()
-    return each.join(n.select("name", "file_path"), "name").select("symbol", "file_path").distinct()
+    each = g.strongest_in_file(s, n).union(s.select("symbol", "symbol")).distinct()
+    return g.files_of_symbols(each, n.select("name", "file_path"))
 
 
 @q("GR22", f"""{_G} SELECT CASE WHEN a.file_path = b.file_path THEN 0 WHEN split_part(a.file_path,'/',1)=split_part(b.file_path,'/',1) AND split_part(a.file_path,'/',2)=split_part(b.file_path,'/',2) AND split_part(a.file_path,'/',3)=split_part(b.file_path,'/',3) THEN 1

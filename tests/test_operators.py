@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -404,3 +405,48 @@ def test_positions_with_an_offset(spark):
     part, every = items.where("i >= 12"), items.where("i < 15")
     pairs = lambda df: [(x.i, x.other) for x in joins.positional(items, df, "i", 12).orderBy("i").collect()]
     assert pairs(part) == [(k, k) for k in range(12, 20)] and pairs(every) == [(12, 12), (13, 13), (14, 14)]
+
+
+def shuffled(spark, run):
+    """The result of ``run`` and the rows that its stages shuffled."""
+    store, jvm, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def written():
+        stages = store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    written()
+    before = written()
+    result = run()
+    written()
+    return result, written() - before
+
+
+def test_files_of_symbols_with_frequent_names(spark, tmp_path):
+    from codequarry.plans import graphs
+
+    # 60 symbols, each beside two of six names that all files hold, and a place without a path
+    rows = [(f"n{j}", f"f{i}", 10 - j % 3) for i in range(120) for j in range(6)] + [(f"parse_{i % 60}", f"f{i}", 1) for i in range(120)] + [("n0", None, 1), ("rare", "f0", 99), ("rare", "g", None), ("parse_0", "g", 5), ("parse_1", "g", 5)]
+    nodes = spark.createDataFrame([(f"i{k}", *r) for k, r in enumerate(rows)], "id string, name string, file_path string, fan_in int")
+    whole = nodes.selectExpr("*", "'' AS signature", "1 AS start_line", "1 AS end_line", "'' AS parent_class", "1 AS param_count", "1 AS fan_out", "timestamp_ntz '2024-01-01 00:00:00' AS extracted_at", "timestamp_ntz '2024-01-01 00:00:00' AS ingested_at")
+    whole.write.parquet(f"{tmp_path}/function_nodes.parquet")
+    got, n = shuffled(spark, lambda: graphs.QUERIES["GR20"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW function_nodes AS SELECT * FROM '{tmp_path}/function_nodes.parquet/*.parquet'")
+    want = c.execute(graphs.ORACLE["GR20"]).fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert ("parse_0", None) in want and len(want) > 7000
+    # pairs are not shuffled, only nodes and what lies near
+    assert n < 5000
+
+
+@pytest.mark.parametrize("symbols, size", [(1, 8), (7, 64), (4096, 32_000_000)])
+def test_files_of_symbols_in_blocks(spark, monkeypatch, symbols, size):
+    monkeypatch.setattr(graph, "BLOCK_SYMBOLS", symbols)
+    monkeypatch.setattr(graph, "BLOCK_BYTES", size)
+    r = random.Random(5)
+    near, places = ({(f"{a}{r.randrange(20)}", f"{b}{r.randrange(30)}") for _ in range(150)} for a, b in (("s", "n"), ("n", "f")))
+    got = graph.files_of_symbols(spark.createDataFrame(sorted(near), "symbol string, name string"), spark.createDataFrame(sorted(places), "name string, file_path string"))
+    assert tuples(got) == sorted({(a, f) for a, x in near for y, f in places if x == y}, key=repr)
+    assert graph.files_of_symbols(spark.createDataFrame([], "symbol string, name string"), spark.createDataFrame(sorted(places), "name string, file_path string")).collect() == []
