@@ -43,9 +43,13 @@ def keywords(text: Column, most: int = 6) -> Column:
     return F.slice(F.concat(F.reverse(ident), plain), 1, most)
 
 
+#: A word of the index in a text in lower case.
+INDEX_WORD = "[a-z]{3,}"
+
+
 def index_tokens(text: Column) -> Column:
     """Lower-case words of at least three letters without the index's stop words, repeats kept."""
-    return F.filter(_all(F.lower(text), "[a-z]{3,}"), lambda w: ~F.array_contains(_lit(INDEX_STOP_WORDS), w))
+    return F.filter(_all(F.lower(text), INDEX_WORD), lambda w: ~F.array_contains(_lit(INDEX_STOP_WORDS), w))
 
 
 def entities(text: Column, most: int = 3) -> Column:

@@ -450,3 +450,40 @@ def test_files_of_symbols_in_blocks(spark, monkeypatch, symbols, size):
     got = graph.files_of_symbols(spark.createDataFrame(sorted(near), "symbol string, name string"), spark.createDataFrame(sorted(places), "name string, file_path string"))
     assert tuples(got) == sorted({(a, f) for a, x in near for y, f in places if x == y}, key=repr)
     assert graph.files_of_symbols(spark.createDataFrame([], "symbol string, name string"), spark.createDataFrame(sorted(places), "name string, file_path string")).collect() == []
+
+
+@pytest.mark.parametrize("terms, docs, entries", [(6, 1, 1), (40, 64, 2_000_000), (500_000, 65_536, 2_000_000)])
+def test_bm25_by_blocks_against_sql(spark, tmp_path, monkeypatch, terms, docs, entries):
+    from codequarry.plans import retrievals
+
+    for name, x in (("BLOCK_TERMS", terms), ("BLOCK_DOCS", docs), ("BLOCK_ENTRIES", entries)):
+        monkeypatch.setattr(retrieval, name, x, raising=False)
+    r = random.Random(terms)
+    few = terms == 6
+    words = [f"word{a}{b}" for a in "abcdefgh" for b in "abcde"]
+    text = lambda n: " ".join(words[min(int(r.expovariate(0.1)), 39)] for _ in range(n)) + r.choice([" the", "", "\nx9"])
+    rows = [(i, text(r.randrange(1, 30))) for i in range(20 if few else 250)]
+    # repeated and missing ids, copies, no words, none of the asked words
+    rows += [(i, rows[3][1]) for i in (900, 901, 902)] + [(5, text(9)), (5, "zzz other"), (None, text(9)), (None, text(4)), (910, None), (911, ""), (912, "to a 9"), (913, "nothing asked")]
+    asked = [text(r.randrange(1, 6)) for _ in range(4 if few else 150)] + ["", "of", "unknownword", None, rows[3][1]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(x,) for x in [*asked, *asked[:3]]], "question string").write.parquet(f"{tmp_path}/qa_results.parquet")
+    got, n = shuffled(spark, lambda: retrievals.QUERIES["RT10"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    for x in ("documents", "qa_results"):
+        c.execute(f"CREATE VIEW {x} AS SELECT * FROM '{tmp_path}/{x}.parquet/*.parquet'")
+    want = c.execute(retrievals.ORACLE["RT10"]).fetchall()
+    assert len(want) > (5 if few else 300)
+    assert sorted(map(tuple, got)) == sorted(want)
+    if terms == 500_000:
+        # pairs of question and document are not shuffled
+        assert n < 5000
+
+
+def test_bm25_of_nothing(spark):
+    docs = spark.createDataFrame([("a", "planner lock"), ("b", None)], "id string, text string")
+    q = spark.createDataFrame([("planner",), ("of",)], "question string")
+    assert [(x.question, x.id, x["rank"]) for x in retrieval.bm25(q, docs, "id", "text", 3).collect()] == [("planner", "a", 1)]
+    for a, b in ((q.limit(0), docs), (q, docs.where("id = 'b'")), (q.where("question = 'of'"), docs)):
+        got = retrieval.bm25(a, b, "id", "text", 3)
+        assert got.collect() == [] and got.columns == ["question", "id", "score", "rank"]
