@@ -11,6 +11,7 @@ from codequarry.operators import filters as f
 from codequarry.operators import graph as g
 from codequarry.operators import joins as j
 from codequarry.operators import retrieval as r
+from codequarry.operators.hotkeys import latest_where_repeated
 from codequarry.plans import retrievals
 from codequarry.plans.filters import _DEG
 from codequarry.plans.fixtures import SQL_CALLS, SQL_FUNCTIONS, SQL_LINES, SQL_NODES, calls, functions, lines, nodes
@@ -217,7 +218,10 @@ _SCOPE = f"""{SQL_FUNCTIONS}, known AS (SELECT DISTINCT file_path FROM functions
 def _scope(spark, d):
     top = materialize(retrievals.QUERIES["RT10"](spark, d).select("question", "id"))
     sections = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.regexp_extract("text", r"(?m)^#{1,3} +([^\n]*)", 1).alias("title"), "text")
-    files = functions(spark, d).where("file_path IS NOT NULL").select("file_path")
+    # the newest states as of ``functions``, by the columns that order them up to the path; the others never leave the scan
+    v = ["extracted_at", "ingested_at"]
+    newest = latest_where_repeated(table(spark, d, "function_nodes"), "id", v, ["id", "name", "signature", "file_path", *v])
+    files = newest.where("file_path IS NOT NULL").select("file_path")
     return r.planned_scope(_questions(spark, d), top, sections, files)
 
 
